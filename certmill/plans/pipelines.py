@@ -1,0 +1,130 @@
+"""Whole audits, put together from the operators."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, functions as F
+
+from certmill.functions.registry import register_functions
+from certmill.operators import dnsobs, greedy, jobs as jb, psl, roots as rt, rules as rl, scan
+from certmill.operators.entries import decode_entries, parsed_rows
+from certmill.operators.loglist import log_ranks
+from certmill.sources.dump import read_dump
+
+
+@dataclass
+class ScanOptions:
+    """What a scan looks for.
+
+    ``query`` and ``rules`` are Spark SQL. ``dns_obs`` and ``psl_rules`` make
+    the columns of :func:`~certmill.operators.dnsobs.with_dns_columns` and
+    :func:`~certmill.operators.psl.with_psl_columns` available to them.
+    """
+
+    query: str | None = None
+    rules: list[tuple[str, str]] | None = None
+    batch_size: int = 50
+    target: int | None = 100
+    after: str | None = None
+    nxdomain: bool = False
+    require_icann: bool = False
+    psl_rules: DataFrame | None = None
+    dns_obs: DataFrame | None = None
+
+
+_CERT_COLUMNS = [
+    "log_uri", "log_index", "issuer_cn", "issuer_org", "not_before", "not_after",
+]
+
+
+def _candidates(certs: DataFrame, sizes: DataFrame, ranks: DataFrame | None, opts: ScanOptions) -> DataFrame:
+    """Certificates in scan order with their passing names as ``options``.
+
+    Cheap filters come first. Without joined facts this stays one narrow stage.
+    """
+    register_functions(certs.sparkSession)
+    if opts.after:
+        certs = scan.after_date(certs, opts.after)
+    if opts.require_icann:
+        if opts.psl_rules is None:
+            raise ValueError("require_icann needs psl_rules")
+        certs = psl.require_icann(certs, opts.psl_rules)
+    placed = scan.with_rank(scan.with_scan_position(certs, sizes, opts.batch_size), ranks)
+    rules = rl.combine(opts.query, opts.rules)
+    if opts.psl_rules is None and opts.dns_obs is None:
+        out = scan.with_options(placed, rules)
+        return out.select(*_CERT_COLUMNS, "scan_batch", "ord", "options").where(F.size("options") > 0)
+
+    named = rl.expand_names(placed)
+    if opts.nxdomain:
+        if opts.dns_obs is None:
+            raise ValueError("nxdomain needs dns_obs")
+        named = dnsobs.nxdomain_only(named, opts.dns_obs)
+    if opts.psl_rules is not None:
+        named = psl.with_psl_columns(named, opts.psl_rules)
+    if opts.dns_obs is not None:
+        named = dnsobs.with_dns_columns(named, opts.dns_obs)
+    return scan.options_from_names(named, [*_CERT_COLUMNS, "scan_batch", "ord"], rules)
+
+
+def scan_logs(
+    certs: DataFrame,
+    sizes: DataFrame,
+    opts: ScanOptions,
+    ranks: DataFrame | None = None,
+    known: DataFrame | None = None,
+) -> DataFrame:
+    """Hits of a scan: every name once, each certificate at most once, in scan order up to the target.
+
+    ``ranks`` orders several logs (see :func:`~certmill.operators.loglist.log_ranks`);
+    without it ``certs`` is one log. ``known`` names are not hit again.
+    """
+    able = _candidates(certs, sizes, ranks, opts)
+    if known is not None:
+        able = jb.skip_known_options(able, known).where(F.size("options") > 0)
+    if opts.target is None:
+        return greedy.greedy_hits(able)
+    return greedy.target_hits(able, opts.target)
+
+
+def scan_session(
+    certs: DataFrame, sizes: DataFrame, logs: DataFrame, opts: ScanOptions,
+    known: DataFrame | None = None,
+) -> DataFrame:
+    """One unique-name target over many logs: operators by name, their logs newest first."""
+    return scan_logs(certs, sizes, opts, ranks=log_ranks(logs), known=known)
+
+
+def resume_scan(
+    certs: DataFrame, job: DataFrame, matches: DataFrame, opts: ScanOptions
+) -> DataFrame:
+    """Continue one job below its checkpoint: its names excluded, its hits carried on.
+
+    ``job`` is the job's row; batches go on from ``next_end_index``.
+    """
+    row = job.select("id", "log_uri", "next_end_index", "target_count", "matched_count").first()
+    if row is None:
+        raise ValueError("no such job")
+    rest = certs.where(
+        (F.col("log_uri") == row["log_uri"]) & (F.col("log_index") <= row["next_end_index"])
+    )
+    sizes = certs.sparkSession.range(1).select(
+        F.lit(row["log_uri"]).alias("log_uri"),
+        F.lit(row["next_end_index"] + 1).cast("bigint").alias("tree_size"),
+    )
+    left = None if opts.target is None else max(0, row["target_count"] - row["matched_count"])
+    again = ScanOptions(**{**opts.__dict__, "target": left})
+    hits = scan_logs(rest, sizes, again, known=jb.job_known(matches, row["id"]))
+    return hits.withColumn("job_id", F.lit(row["id"]).cast("bigint"))
+
+
+def parse_dump(spark, path: str, fields: DataFrame) -> DataFrame:
+    """The twelve parsed columns of a dump; ``fields`` holds certificate fields by fingerprint."""
+    return parsed_rows(decode_entries(read_dump(spark, path)), fields)
+
+
+def check_root(logs: DataFrame, log_roots: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
+    """Coverage per log, and the summary row."""
+    coverage = rt.root_coverage(logs, log_roots, target)
+    return coverage, rt.root_summary(coverage)

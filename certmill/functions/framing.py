@@ -60,61 +60,67 @@ def entry_type(leaf: Column) -> Column:
     return F.when(F.length(leaf) >= 12, _uint(leaf, 11, 2))
 
 
+_X509, _PRECERT = "0000", "0001"
+
+
+def _type_hex(leaf: Column) -> Column:
+    return F.hex(F.substring(leaf, 11, 2))
+
+
 def header_error(leaf: Column) -> Column:
     """Why a leaf is refused by its header alone; null when it is accepted."""
     return (
         F.when(leaf.isNull(), F.lit("bad_base64"))
         .when(F.length(leaf) < 12, F.lit("leaf_too_short"))
-        .when((leaf_version(leaf) != 0) | (leaf_type(leaf) != 0), F.lit("unsupported_header"))
-        .when(~entry_type(leaf).isin(0, 1), F.lit("unknown_entry_type"))
+        .when(F.hex(F.substring(leaf, 1, 2)) != "0000", F.lit("unsupported_header"))
+        .when(~_type_hex(leaf).isin(_X509, _PRECERT), F.lit("unknown_entry_type"))
     )
 
 
-def _prefixed(data: Column, at: int) -> Column:
-    """The bytes behind a 24-bit length that starts at 1-based byte ``at``."""
-    size = _uint(data, at, 3).cast("int")
-    return F.when(
-        (F.length(data) >= at + 2) & (F.length(data) >= size + (at + 2)),
-        F.substring(data, at + 3, size),
+def payload(leaf: Column, extra: Column) -> Column:
+    """The bytes that begin with the certificate's 24-bit length, by entry type."""
+    kind = _type_hex(leaf)
+    return F.when(kind == _X509, F.substring(leaf, 13, 2147483647)).when(kind == _PRECERT, extra)
+
+
+def payload_size(data: Column) -> Column:
+    """The 24-bit length; null when there are fewer than three bytes."""
+    return F.when(F.length(data) >= 3, _uint(data, 1, 3).cast("int"))
+
+
+def payload_error(data: Column, size: Column, is_precert: Column) -> Column:
+    return (
+        F.when(is_precert & (F.coalesce(F.length(data), F.lit(0)) == 0), F.lit("missing_extra_data"))
+        .when(size.isNull(), F.when(is_precert, F.lit("extra_data_too_short")).otherwise(F.lit("leaf_too_short")))
+        .when(F.length(data) < size + 3, F.lit("length_exceeds_buffer"))
     )
 
 
+def _error(leaf: Column, data: Column, wanted: str, other: str) -> Column:
+    kind = _type_hex(leaf)
+    refused = F.when(kind != wanted, F.lit(other)).otherwise(
+        payload_error(data, payload_size(data), F.lit(wanted == _PRECERT))
+    )
+    return F.coalesce(header_error(leaf), refused)
+
+
 def x509_error(leaf: Column) -> Column:
     """Why the certificate of a full-certificate leaf cannot be cut out; null when it can."""
-    return (
-        F.when(header_error(leaf).isNotNull(), header_error(leaf))
-        .when(entry_type(leaf) != 0, F.lit("not_x509_entry"))
-        .when(F.length(leaf) < 15, F.lit("leaf_too_short"))
-        .when(_prefixed(leaf, 13).isNull(), F.lit("length_exceeds_buffer"))
-    )
+    return _error(leaf, F.substring(leaf, 13, 2147483647), _X509, "not_x509_entry")
 
 
 def x509_der(leaf: Column) -> Column:
-    return F.when(x509_error(leaf).isNull(), _prefixed(leaf, 13))
+    data = F.substring(leaf, 13, 2147483647)
+    return F.when(x509_error(leaf).isNull(), F.substring(data, 4, payload_size(data)))
 
 
 def precert_error(leaf: Column, extra: Column) -> Column:
     """Why the certificate of a precertificate entry cannot be cut out; null when it can."""
-    return (
-        F.when(header_error(leaf).isNotNull(), header_error(leaf))
-        .when(entry_type(leaf) != 1, F.lit("not_precert_entry"))
-        .when(extra.isNull() | (F.length(extra) == 0), F.lit("missing_extra_data"))
-        .when(F.length(extra) < 3, F.lit("extra_data_too_short"))
-        .when(_prefixed(extra, 1).isNull(), F.lit("length_exceeds_buffer"))
-    )
+    return _error(leaf, extra, _PRECERT, "not_precert_entry")
 
 
 def precert_der(leaf: Column, extra: Column) -> Column:
-    return F.when(precert_error(leaf, extra).isNull(), _prefixed(extra, 1))
-
-
-def entry_error(leaf: Column, extra: Column) -> Column:
-    return F.when(entry_type(leaf) == 1, precert_error(leaf, extra)).otherwise(x509_error(leaf))
-
-
-def entry_der(leaf: Column, extra: Column) -> Column:
-    """Certificate bytes of either entry type, null when the entry is refused."""
-    return F.when(entry_type(leaf) == 1, precert_der(leaf, extra)).otherwise(x509_der(leaf))
+    return F.when(precert_error(leaf, extra).isNull(), F.substring(extra, 4, payload_size(extra)))
 
 
 def fingerprint(der: Column) -> Column:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# ``endswith``, ``contains`` and ``startswith`` are built in.
+# ``endswith``, ``contains`` and ``startswith`` are built in; ``matches`` is read as ``regexp_like``.
 _SQL_FUNCTIONS = [
-    ("matches(s STRING, pattern STRING)", "BOOLEAN", "s RLIKE pattern"),
     ("dns_has_flag(flags ARRAY<STRING>, flag STRING)", "BOOLEAN",
      "array_contains(split(lower(array_join(flags, ' ')), ' '), lower(flag))"),
     ("strip_wildcard(name STRING)", "STRING",

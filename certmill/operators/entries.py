@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from certmill.functions import framing as fr
 from certmill.operators import scan
+from certmill.session import stored
 
 
 def decode_entries(entries: DataFrame) -> DataFrame:
@@ -13,18 +14,32 @@ def decode_entries(entries: DataFrame) -> DataFrame:
 
     A refused entry keeps its row, with null bytes and the reason in ``error``.
     """
-    packed = entries.withColumn("_leaf", fr.from_base64(F.col("entry.leaf_input"))).withColumn(
-        "_extra", fr.from_base64(F.coalesce(F.col("entry.extra_data"), F.lit("")))
-    )
     leaf, extra = F.col("_leaf"), F.col("_extra")
     ms = fr.leaf_timestamp(leaf)
-    return packed.select(
-        *entries.columns,
-        ms.alias("timestamp_ms"),
-        fr.millis_to_iso(ms).alias("timestamp_utc"),
-        fr.entry_type(leaf).alias("entry_type"),
-        fr.entry_der(leaf, extra).alias("der"),
-        fr.entry_error(leaf, extra).alias("error"),
+    # One step per level of framing keeps every expression small enough to be compiled.
+    return (
+        entries.withColumn("_leaf", fr.from_base64(F.col("entry.leaf_input")))
+        .withColumn("_extra", fr.from_base64(F.coalesce(F.col("entry.extra_data"), F.lit(""))))
+        .withColumn("_head", fr.header_error(leaf))
+        .withColumn("_data", F.when(F.col("_head").isNull(), fr.payload(leaf, extra)))
+        .withColumn("_size", fr.payload_size(F.col("_data")))
+        .withColumn("timestamp_ms", ms)
+        .withColumn("entry_type", fr.entry_type(leaf))
+        .withColumn(
+            "error",
+            F.coalesce(
+                F.col("_head"),
+                fr.payload_error(F.col("_data"), F.col("_size"), F.col("entry_type") == 1),
+            ),
+        )
+        .select(
+            *entries.columns,
+            "timestamp_ms",
+            fr.millis_to_iso(F.col("timestamp_ms")).alias("timestamp_utc"),
+            "entry_type",
+            F.when(F.col("error").isNull(), F.substring(F.col("_data"), 4, F.col("_size"))).alias("der"),
+            "error",
+        )
     )
 
 
@@ -39,12 +54,12 @@ def decode_audit(decoded: DataFrame, tree_sizes: DataFrame, batch_size: int) ->
     """Per log and scan batch: received, parsed, unparsed, running parsed total, position in percent.
 
     The batches are counted before anything is ordered, so the running total
-    sorts one row per batch. It is built in two steps, sums within blocks of
+    sorts one row per batch; they are stored, so entries are read once. It is built in two steps, sums within blocks of
     batches and sums of whole blocks, so that one huge log is not one task.
     """
     if batch_size <= 0:
         raise ValueError("batch_size must be > 0")
-    batches = (
+    batches = stored(
         scan.with_scan_position(decoded, tree_sizes, batch_size, index="index")
         .groupBy("log_uri", "tree_size", "scan_batch")
         .agg(
@@ -52,7 +67,8 @@ def decode_audit(decoded: DataFrame, tree_sizes: DataFrame, batch_size: int) ->
             F.count_if(F.col("error").isNull()).alias("parsed"),
             F.count_if(F.col("error").isNotNull()).alias("unparsed"),
         )
-        .withColumn("_block", F.floor(F.col("scan_batch") / 100_000))
+        .withColumn("_block", F.floor(F.col("scan_batch") / 100_000)),
+        "batches",
     )
     inside = W.partitionBy("log_uri", "_block").orderBy("scan_batch")
     before = W.partitionBy("log_uri").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)

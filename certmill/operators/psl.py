@@ -82,7 +82,7 @@ def with_public_suffix(named: DataFrame, rules: DataFrame, name: str = "domain")
             )
     choice = choice.otherwise(F.struct(F.lit(1).alias("labels"), F.lit(UNKNOWN).alias("section")))
     out = out.withColumn("_choice", F.when(F.col("kind") == "dns_name", choice))
-    suffix = F.substring_index(host, ".", -F.col("_choice.labels"))
+    suffix = F.call_function("substring_index", host, F.lit("."), -F.col("_choice.labels"))
     return out.select(
         *named.columns, "kind", "host",
         F.when(F.col("kind") == "dns_name", suffix).alias("public_suffix"),

@@ -19,8 +19,15 @@ MAX_RULES = 10_000
 
 
 def predicate_text(text: str) -> str:
-    """The predicate without a leading ``WHERE``."""
-    return re.sub(r"^\s*where\s+", "", text, flags=re.IGNORECASE).strip()
+    """The predicate without a leading ``WHERE``, with ``matches`` under its built-in name.
+
+    Spark's own function also works inside arrays, which a SQL function does
+    not. Quoted text is left alone.
+    """
+    bare = re.sub(r"^\s*where\s+", "", text, flags=re.IGNORECASE).strip()
+    parts = re.split(r"('(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\")", bare)
+    parts[::2] = [re.sub(r"\bmatches\s*\(", "regexp_like(", p, flags=re.IGNORECASE) for p in parts[::2]]
+    return "".join(parts)
 
 
 def predicate(text: str) -> Column:

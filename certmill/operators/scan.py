@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from certmill.functions import fields, names as nm
 from certmill.operators import rules as rl
 from certmill.plans.joins import lookup_join
+from certmill.session import stored
 
 # Positions of one log stay below 2^40, so log rank and position share one BIGINT.
 RANK_SHIFT = 40
@@ -43,8 +44,11 @@ def log_ranges(start: int, end: int, batch_size: int, spark) -> DataFrame:
 
 
 def tree_sizes(certs: DataFrame, index: str = "log_index") -> DataFrame:
-    """Number of indices of each log, when the log heads are not given."""
-    return certs.groupBy("log_uri").agg((F.max(index) + 1).alias("tree_size"))
+    """Number of indices of each log, when the log heads are not given.
+
+    One row per log, stored: the table is read once however often it is used.
+    """
+    return stored(certs.groupBy("log_uri").agg((F.max(index) + 1).alias("tree_size")), "tree-sizes")
 
 
 def with_scan_position(

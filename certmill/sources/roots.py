@@ -8,14 +8,17 @@ from certmill.functions.framing import from_base64
 from certmill.schemas import ROOTS
 
 
-def read_roots(spark: SparkSession, path: str, log_url: str | None = None) -> DataFrame:
+def read_roots(
+    spark: SparkSession, path: str, log_url: str | None = None, json_lines: bool = False
+) -> DataFrame:
     """``log_url``, ``pos`` and ``der``, one row per root; an empty answer keeps a null row.
 
-    Each file is one answer. Without ``log_url`` the folder that Spark read as
-    partition column ``log_url`` names the log.
+    A file is one answer, or with ``json_lines`` one answer per line. Without
+    ``log_url`` each answer names its log, in a ``log_url`` field or by its
+    partition folder.
     """
     raw = spark.read.schema(ROOTS + ("" if log_url else ", log_url STRING")).option(
-        "multiLine", True
+        "multiLine", not json_lines
     ).json(path)
     if log_url:
         raw = raw.withColumn("log_url", F.lit(log_url))

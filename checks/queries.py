@@ -166,7 +166,7 @@ def _(x):
     )
     # One answer per log; the log is named in the answer, as a collector stores it.
     path = _stored_json(x, answers.select("certificates", "log_url"), "roots")
-    return srt.read_roots(x.spark, path).select("log_url", F.col("der").cast("string").alias("der"))
+    return srt.read_roots(x.spark, path, json_lines=True).select("log_url", F.col("der").cast("string").alias("der"))
 
 
 @query("src_cert_files", "SELECT 'part-' || p_partkey || ': ' || p_name AS der FROM part")
@@ -224,7 +224,7 @@ FROM entries WHERE error IS NULL"""
 
 
 def _parsed(x: Fixtures) -> DataFrame:
-    return en.parsed_rows(en.decode_entries(x.entries()), x.cert_fields())
+    return pl.parse_dump(x.spark, _dump_path(x), x.cert_fields())
 
 
 @query("sink_parsed_jsonl", _PARSED_SQL)
@@ -356,8 +356,8 @@ SELECT 'https://log0.example/' AS log_uri, scan_batch, received, parsed, unparse
   CAST(sum(parsed) OVER (ORDER BY scan_batch) AS BIGINT) AS total_parsed,
   greatest(0, n - (scan_batch + 1) * 50) / n * 100.0 AS position_pct FROM b""")
 def _(x):
-    decoded = en.decode_entries(x.entries())
-    return en.decode_audit(decoded, scan.tree_sizes(x.entries(), "index"), BATCH)
+    entries = dump.read_dump(x.spark, _dump_path(x)).withColumn("log_uri", F.lit("https://log0.example/"))
+    return en.decode_audit(en.decode_entries(entries), scan.tree_sizes(entries, "index"), BATCH)
 
 
 @query("cert_fingerprint", with_("log_roots") + """
@@ -964,9 +964,10 @@ SELECT p.log_uri, p.log_index, f.name AS clean FROM final_ f JOIN (
   SELECT *, dense_rank() OVER (ORDER BY log_uri) * 1000000000 + scan_pos AS ord FROM placed) p USING (ord)""")
 def _(x):
     certs = x.certs()
-    ranks = scan.tree_sizes(certs).select("log_uri", F.regexp_extract("log_uri", "//log([0-9]+)", 1).cast("bigint").alias("log_rank"))
+    sizes = scan.tree_sizes(certs)
+    ranks = sizes.select("log_uri", F.regexp_extract("log_uri", "//log([0-9]+)", 1).cast("bigint").alias("log_rank"))
     opts = pl.ScanOptions(batch_size=BATCH, target=None)
-    return pl.scan_logs(certs, scan.tree_sizes(certs), opts, ranks=ranks).select("log_uri", "log_index", "clean")
+    return pl.scan_logs(certs, sizes, opts, ranks=ranks).select("log_uri", "log_index", "clean")
 
 
 _SESSION_RANK = """(SELECT slash_url AS log_uri, row_number() OVER (ORDER BY operator, start_day DESC NULLS LAST, description DESC) AS log_rank

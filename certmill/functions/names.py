@@ -17,7 +17,7 @@ def strip_wildcard(name: Column) -> Column:
 def canonical_host(name: Column) -> Column:
     """Trimmed, without wildcard labels, lower case, no trailing dots."""
     bare = strip_wildcard(strip_wildcard(F.trim(F.coalesce(name, F.lit("")))))
-    return F.regexp_replace(F.lower(bare), "\\.+$", "")
+    return F.rtrim(F.lower(bare), F.lit("."))
 
 
 def _is_ip(host: Column) -> Column:
@@ -31,7 +31,10 @@ def _is_ip(host: Column) -> Column:
         & ~host.rlike("[0-9a-f]{5,}")
         & (groups <= 5)
     )
-    return host.rlike(f"^{IPV4}$") | (F.contains(host, F.lit(":")) & (long_form | short_form))
+    # Few names end in a digit, so few reach a pattern.
+    return F.right(host, F.lit(1)).between("0", "9") & (
+        host.rlike(f"^{IPV4}$") | (F.contains(host, F.lit(":")) & (long_form | short_form))
+    )
 
 
 def name_kind(name: Column) -> Column:

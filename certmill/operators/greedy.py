@@ -19,93 +19,78 @@ Spark pick broadcast joins once few certificates are left.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
-from certmill.session import new_table_path
-
-# Largest sorted prefix that a target looks at before the whole table is used.
-PREFIX_ROWS = 20_000
-
-
-def _first_options(options: DataFrame) -> DataFrame:
-    return options.where(F.size("names") > 0).select(
-        "ord", F.lit(0).alias("step"), "names"
-    )
+from certmill.session import new_table_path, stored
 
 
 def assign(options: DataFrame) -> DataFrame:
-    """``ord``, ``step``, ``name``: the option each certificate ends with; losers have no row.
+    """``name``, ``ord``, ``step``: the option each certificate ends with; losers have no row.
 
     ``options`` has one row per certificate: ``ord`` (unique, the scan order)
     and ``names`` (its passing names, most wanted first; repeats are harmless).
+    It is read in every round and should be a stored table.
     """
     spark = options.sparkSession
     base = new_table_path(spark, "assign")
-    options.select("ord", "names").write.parquet(f"{base}/options")
-    everyone = spark.read.parquet(f"{base}/options")
-    moving = _first_options(everyone)
+    moving = options.where(F.size("names") > 0).select("ord", F.lit(0).alias("step"), "names")
     held: list[str] = []
-    round_no = 0
     while True:
         fresh = moving.select(
             F.get("names", F.col("step")).alias("name"), "ord", "step", F.lit(True).alias("fresh")
         )
         bids = fresh
         if held:
-            wanted = fresh.select("name").distinct()
-            # One row per name and round at most, so no name is hot here.
-            owners = spark.read.parquet(*held).join(wanted, "name", "left_semi")
-            bids = fresh.unionByName(
-                owners.select("name", "ord", "step", F.lit(False).alias("fresh"))
-            )
-        won = f"{base}/won-{round_no}"
+            # One row per name and round at most, so no name is hot among the owners.
+            owners = _owners_of(spark.read.parquet(*held), fresh)
+            bids = fresh.unionByName(owners.withColumn("fresh", F.lit(False)))
+        won = f"{base}/won-{len(held)}"
         (
             bids.groupBy("name")
             .agg(F.min("ord").alias("ord"), F.min_by("step", "ord").alias("step"),
                  F.min_by("fresh", "ord").alias("fresh"))
+            .where("fresh").drop("fresh")
             .write.parquet(won)
         )
         winners = spark.read.parquet(won)
-        keep = winners.select("ord")
-        refused = moving.join(keep, "ord", "left_anti")
+        refused = moving.join(winners.select("ord"), "ord", "left_anti")
         if held:
-            # Owners of the names that change hands in this round.
-            taken = winners.where("fresh").select("name")
-            displaced = _holders(
-                spark.read.parquet(*held).join(taken, "name", "left_semi")
-            )
+            # Owners whose names change hands in this round move on as well.
+            displaced = _owners_of(spark.read.parquet(*held), winners)
             refused = refused.unionByName(
-                displaced.select("ord", "step").join(everyone, "ord").select("ord", "step", "names")
+                displaced.select("ord", "step").join(options, "ord").select("ord", "step", "names")
             )
-        nxt = f"{base}/moving-{round_no + 1}"
+        seen = Observation()
+        path = f"{base}/moving-{len(held) + 1}"
         (
             refused.withColumn("step", F.col("step") + 1)
             .where(F.col("step") < F.size("names"))
-            .write.parquet(nxt)
+            .observe(seen, F.count(F.lit(1)).alias("n"))
+            .write.parquet(path)
         )
         held.append(won)
-        moving = spark.read.parquet(nxt)
-        round_no += 1
-        if moving.isEmpty():
-            break
-    return _holders(spark.read.parquet(*held))
+        if seen.get["n"] == 0:
+            return _owners(spark.read.parquet(*held))
+        moving = spark.read.parquet(path)
 
 
-def _holders(log: DataFrame) -> DataFrame:
+def _owners(log: DataFrame) -> DataFrame:
     """The present owner of every name: the earliest that ever won it."""
     return log.groupBy("name").agg(
         F.min("ord").alias("ord"), F.min_by("step", "ord").alias("step")
     )
 
 
-def greedy_hits(certs: DataFrame) -> DataFrame:
-    """Certificates with ``ord`` and ``options`` to hits with ``domain``, ``clean`` and ``rule_name``."""
-    narrow = certs.select("ord", F.transform("options", lambda o: o["clean"]).alias("names"))
-    return _attach(certs, assign(narrow))
+def _owners_of(log: DataFrame, names: DataFrame) -> DataFrame:
+    """Present owners of the names that occur in ``names``."""
+    return _owners(log.join(names.select("name").distinct(), "name", "left_semi"))
 
 
-def _attach(certs: DataFrame, assigned: DataFrame) -> DataFrame:
-    got = certs.join(assigned.select("ord", "step"), "ord").withColumn(
+def greedy_hits(certs: DataFrame) -> DataFrame:
+    """Certificates with ``ord`` and ``options`` to hits with ``domain``, ``clean`` and ``rule_name``."""
+    table = stored(certs, "candidates")
+    owners = assign(table.select("ord", F.col("options.clean").alias("names")))
+    got = table.join(owners.select("ord", "step"), "ord").withColumn(
         "_o", F.get("options", F.col("step"))
     )
     return got.select(
@@ -114,29 +99,3 @@ def _attach(certs: DataFrame, assigned: DataFrame) -> DataFrame:
         F.col("_o.clean").alias("clean"),
         F.col("_o.rule_name").alias("rule_name"),
     )
-
-
-def target_hits(certs: DataFrame, target: int) -> DataFrame:
-    """The first ``target`` greedy hits in scan order.
-
-    The walk over a prefix never looks behind it, so growing prefixes of
-    certificates that have an option are tried first; the prefix that yields
-    enough hits gives the exact answer without assigning the rest of the table.
-    """
-    if target < 0:
-        raise ValueError("target must not be negative")
-    able = certs.where(F.size("options") > 0)
-    if target == 0:
-        return _attach(able, able.select("ord", F.lit(0).alias("step"))).limit(0)
-    take = 4 * target
-    while take <= PREFIX_ROWS:
-        bounds = able.select("ord").orderBy("ord").limit(take).agg(
-            F.count(F.lit(1)).alias("n"), F.max("ord").alias("last")
-        ).first()
-        if bounds["n"] == 0:
-            break
-        hits = greedy_hits(able.where(F.col("ord") <= bounds["last"]))
-        if bounds["n"] < take or hits.count() >= target:
-            return hits.orderBy("ord").limit(target)
-        take *= 8
-    return greedy_hits(able).orderBy("ord").limit(target)

@@ -11,6 +11,7 @@ from certmill.functions.names import strip_wildcard
 from certmill.operators.loglist import slash_url
 from certmill.plans.joins import lookup_join
 from certmill.schemas import EXPORT_COLUMNS, JOBS, MATCHES, SESSIONS
+from certmill.session import stored
 
 RUNNING = "running"
 COMPLETED = "completed"
@@ -229,26 +230,27 @@ def export_rows(matches: DataFrame, jobs: DataFrame, job_id: int | None = None)
     )
 
 
-def number_rows(rows: DataFrame, key: str, ranges: int = 256) -> DataFrame:
-    """Add ``index``, the 1-based number of a row by unique numeric ``key``, without one big sort task.
+def number_rows(rows: DataFrame, key: str) -> DataFrame:
+    """Add ``index``, the 1-based number of a row by unique ``key``, without one big sort task.
 
-    Approximate quantiles cut the rows into ranges of like size; each range is
-    numbered on its own and raised by the exact number of rows before it.
+    Rows are range partitioned and sorted; each counts from its partition's
+    start, and the partitions' sizes, a few thousand numbers, give the starts.
+    The sorted rows are stored, so both reads see the same partitions.
     """
-    marks = [i / ranges for i in range(1, ranges)]
-    found = rows.agg(F.percentile_approx(key, marks, 10_000).alias("q")).first()["q"]
-    bounds = F.array(*[F.lit(b) for b in sorted(set(found or []))]).cast("array<bigint>")
-    cut = rows.withColumn("_b", F.size(F.filter(bounds, lambda b: b < F.col(key))))
-    sizes = cut.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    # At most ``ranges`` rows reach this window, and as many are broadcast.
-    before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    bases = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = W.partitionBy("_b").orderBy(key)
+    numbered = stored(
+        rows.repartitionByRange(F.col(key))
+        .sortWithinPartitions(key)
+        .withColumn("_at", F.monotonically_increasing_id()),
+        "numbered",
+    )
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = numbered.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     return (
-        cut.withColumn("_rn", F.row_number().over(inside))
-        .join(F.broadcast(bases), "_b")
-        .withColumn("index", F.col("_base") + F.col("_rn"))
-        .drop("_b", "_rn", "_base")
+        lookup_join(numbered.withColumn("_p", part), starts, "_p", "inner")
+        .withColumn("index", F.col("_base") + place + 1)
+        .drop("_p", "_at", "_base")
     )
 
 

@@ -55,13 +55,15 @@ def with_public_suffix(named: DataFrame, rules: DataFrame, name: str = "domain")
     out = named.withColumn("kind", nm.name_kind(F.col(name))).withColumn(
         "host", F.when(F.col("kind") == "dns_name", nm.canonical_host(F.col(name)))
     )
+    # The tail of each depth, so that a join compares plain columns.
+    out = out.withColumns({f"_t{d}": nm.last_labels(host, d) for d in range(1, depth + 1)})
     for d in range(1, depth + 1):
         side = keyed.where(F.col("_depth") == d).select(
             F.col("_key").alias(f"_key{d}"),
             F.struct("plain", "wildcard", "exception").alias(f"_r{d}"),
         )
         side = F.broadcast(side) if small else side
-        out = out.join(side, nm.last_labels(host, d) == F.col(f"_key{d}"), "left").drop(f"_key{d}")
+        out = out.join(side, F.col(f"_t{d}") == F.col(f"_key{d}"), "left").drop(f"_key{d}", f"_t{d}")
 
     choice = F.when(F.lit(False), F.struct(F.lit(0).alias("labels"), F.lit("").alias("section")))
 

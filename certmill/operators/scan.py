@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from certmill.functions import fields, names as nm
 from certmill.operators import rules as rl
-from certmill.plans.joins import lookup_join
+from certmill.plans.joins import lookup_join, with_kept
 from certmill.session import stored
 
 # Positions of one log stay below 2^40, so log rank and position share one BIGINT.
@@ -98,28 +98,33 @@ def after_date(df: DataFrame, since: str) -> DataFrame:
     return df.where(F.col("not_before") >= F.lit(since))
 
 
+def _named_certs(certs: DataFrame) -> DataFrame:
+    """Certificates with at least the placeholder name, and ``domains`` beside ``san``."""
+    san = F.when(F.size("san") > 0, F.col("san")).otherwise(F.array(fields.placeholder(F.col("log_index"))))
+    return certs.withColumn("san", san).withColumn("domains", F.col("san"))
+
+
+def _options(rules: list[tuple[str, str]] | None) -> Column:
+    clean = "CASE WHEN startswith(domain, '*.') THEN substring(domain, 3) ELSE domain END"
+    return F.expr(
+        f"transform(filter(transform(san, domain -> named_struct('domain', domain, "
+        f"'rule_name', {rl.rule_sql(rules)})), x -> x.rule_name IS NOT NULL), "
+        f"x -> named_struct('clean', {clean.replace('domain', 'x.domain')}, "
+        "'domain', x.domain, 'rule_name', x.rule_name))"
+    )
+
+
 def with_options(certs: DataFrame, rules: list[tuple[str, str]] | None) -> DataFrame:
-    """Add ``options``: the names of a certificate that pass the rules, in SAN order.
+    """Add ``options``, the names of a certificate that pass the rules, in SAN order; drop rows without one.
 
     Each option is a struct of ``clean`` (without wildcard), ``domain`` and
     ``rule_name``. The rules run inside the array, so no row is multiplied and
     nothing is shuffled. Rules may use every certificate column and ``domain``;
     the columns of joined facts need :func:`options_from_names`.
     """
-    certs = certs.withColumn(
-        "san",
-        F.when(F.size("san") > 0, F.col("san")).otherwise(
-            F.array(fields.placeholder(F.col("log_index")))
-        ),
-    ).withColumn("domains", F.col("san"))
-    verdict = rl.rule_sql(rules)
-    clean = "CASE WHEN startswith(domain, '*.') THEN substring(domain, 3) ELSE domain END"
-    options = F.expr(
-        "filter(transform(san, domain -> named_struct("
-        f"'clean', {clean}, 'domain', domain, 'rule_name', {verdict})), "
-        "x -> x.rule_name IS NOT NULL)"
-    )
-    return certs.withColumn("options", options).drop("domains")
+    return with_kept(
+        _named_certs(certs), "options", _options(rules), lambda o: F.size(o) > 0
+    ).drop("domains")
 
 
 def options_from_names(named: DataFrame, keys: list[str], rules: list[tuple[str, str]] | None) -> DataFrame:
@@ -147,13 +152,17 @@ def options_from_names(named: DataFrame, keys: list[str], rules: list[tuple[str,
 
 def first_match(certs: DataFrame, rules: list[tuple[str, str]] | None) -> DataFrame:
     """At most one hit per certificate: the first name in SAN order that passes. No shuffle."""
+    verdicts = F.expr(f"transform(san, domain -> {rl.rule_sql(rules)})")
+    # The first verdict that is not null, and its place.
+    found = F.expr("filter(transform(_v, (v, i) -> named_struct('i', i, 'rule_name', v)), x -> x.rule_name IS NOT NULL)")
+    kept = with_kept(
+        _named_certs(certs), "_v", verdicts, lambda v: F.exists(v, lambda r: r.isNotNull())
+    )
     return (
-        with_options(certs, rules)
-        .where(F.size("options") > 0)
-        .withColumn("_hit", F.get("options", F.lit(0)))
-        .withColumn("domain", F.col("_hit.domain"))
+        kept.withColumn("_hit", F.get(found, F.lit(0)))
+        .withColumn("domain", F.get("san", F.col("_hit.i")))
         .withColumn("rule_name", F.col("_hit.rule_name"))
-        .drop("_hit", "options")
+        .drop("_hit", "_v", "domains")
     )
 
 

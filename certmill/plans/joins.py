@@ -1,8 +1,10 @@
-"""Joins against lookup tables whose size is checked before they are broadcast."""
+"""Plan helpers: checked lookup joins, and filters on costly expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 MAX_ROWS = 500_000
 MAX_BYTES = 64 << 20
@@ -55,3 +57,12 @@ def lookup_join(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
     return spread.join(copies, keys + ["_salt"], how).drop("_salt")
+
+
+def with_kept(df: DataFrame, name: str, value: Column, test: Callable[[Column], Column]) -> DataFrame:
+    """Add a costly column and keep the rows whose value passes the test, computing it once.
+
+    A plain filter on a computed column is pushed below the projection and
+    computes the column a second time; a generator over a one-element array is not.
+    """
+    return df.select("*", F.explode(F.filter(F.array(value), test)).alias(name))

@@ -10,8 +10,15 @@ from certmill.functions.registry import register_functions
 from certmill.operators import dnsobs, greedy, jobs as jb, psl, roots as rt, rules as rl, scan
 from certmill.operators.entries import decode_entries, parsed_rows
 from certmill.operators.loglist import log_ranks
+from certmill.plans.joins import lookup_join
+from certmill.session import stored
 from certmill.sources.dump import read_dump
 
+# A target's first try reads this many entries per wanted hit; each further try reads more.
+TAIL_FACTOR = 100
+TAIL_GROWTH = 16
+MAX_LOGS = 10_000
+
 
 @dataclass
 class ScanOptions:
@@ -54,7 +61,7 @@ def _candidates(certs: DataFrame, sizes: DataFrame, ranks: DataFrame | None, opt
     rules = rl.combine(opts.query, opts.rules)
     if opts.psl_rules is None and opts.dns_obs is None:
         out = scan.with_options(placed, rules)
-        return out.select(*_CERT_COLUMNS, "scan_batch", "ord", "options").where(F.size("options") > 0)
+        return out.select(*_CERT_COLUMNS, "scan_batch", "ord", "options")
 
     named = rl.expand_names(placed)
     if opts.nxdomain:
@@ -68,6 +75,37 @@ def _candidates(certs: DataFrame, sizes: DataFrame, ranks: DataFrame | None, opt
     return scan.options_from_names(named, [*_CERT_COLUMNS, "scan_batch", "ord"], rules)
 
 
+def _heads(sizes: DataFrame, ranks: DataFrame | None) -> list[tuple[str, int]] | None:
+    """Logs in scan order with their sizes; None when they are too many to hold here."""
+    if ranks is None:
+        rows = sizes.select("log_uri", "tree_size", F.lit(0).alias("log_rank"))
+    else:
+        rows = lookup_join(sizes, ranks, "log_uri", "inner")
+    found = rows.select("log_rank", "log_uri", "tree_size").limit(MAX_LOGS + 1).collect()
+    if len(found) > MAX_LOGS:
+        return None
+    return [(r["log_uri"], r["tree_size"]) for r in sorted(found)]
+
+
+def _tail(certs: DataFrame, heads: list[tuple[str, int]], entries: int, batch_size: int) -> DataFrame:
+    """The certificates that a scan reads within its first ``entries`` entries, in whole batches.
+
+    Plain bounds on ``log_uri`` and ``log_index``, which reach the table's
+    partitions and the Parquet statistics: only the tails of logs are read.
+    """
+    bound, whole, left = F.lit(False), [], entries
+    for uri, size in heads:
+        if left <= 0:
+            break
+        take = -(-min(size, left) // batch_size) * batch_size
+        if take >= size:
+            whole.append(uri)
+        else:
+            bound = (F.col("log_uri") == uri) & (F.col("log_index") >= size - take)
+        left -= min(take, size)
+    return certs.where(F.col("log_uri").isin(whole) | bound if whole else bound)
+
+
 def scan_logs(
     certs: DataFrame,
     sizes: DataFrame,
@@ -79,13 +117,30 @@ def scan_logs(
 
     ``ranks`` orders several logs (see :func:`~certmill.operators.loglist.log_ranks`);
     without it ``certs`` is one log. ``known`` names are not hit again.
+
+    A scan never looks behind the hit that reaches its target, so with a
+    target growing tails of the logs are tried first; the first tail with
+    enough hits gives the exact answer and the rest is not read.
     """
-    able = _candidates(certs, sizes, ranks, opts)
-    if known is not None:
-        able = jb.skip_known_options(able, known).where(F.size("options") > 0)
-    if opts.target is None:
+    def hits_in(part: DataFrame) -> DataFrame:
+        able = _candidates(part, sizes, ranks, opts)
+        if known is not None:
+            able = jb.skip_known_options(able, known).where(F.size("options") > 0)
         return greedy.greedy_hits(able)
-    return greedy.target_hits(able, opts.target)
+
+    if opts.target is None:
+        return hits_in(certs)
+    if opts.target < 0:
+        raise ValueError("target must not be negative")
+    heads = _heads(sizes, ranks)
+    if heads is not None:
+        total, entries = sum(n for _, n in heads), max(opts.batch_size, TAIL_FACTOR * opts.target)
+        while entries < total:
+            hits = stored(hits_in(_tail(certs, heads, entries, opts.batch_size)), "tail-hits")
+            if hits.count() >= opts.target:
+                return hits.orderBy("ord").limit(opts.target)
+            entries *= TAIL_GROWTH
+    return hits_in(certs).orderBy("ord").limit(opts.target)
 
 
 def scan_session(

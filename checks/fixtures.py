@@ -240,7 +240,8 @@ class Fixtures:
     def psl_rules(self) -> DataFrame:
         from checks.fixtures_sql import PSL_RULES
 
-        return self.spark.createDataFrame(PSL_RULES, "rule string, section string, kind string")
+        values = ", ".join(f"('{r}', '{s}', '{k}')" for r, s, k in PSL_RULES)
+        return self.spark.sql(f"SELECT * FROM VALUES {values} AS t(rule, section, kind)")
 
     def psl_text(self) -> DataFrame:
         """``pos`` and ``line`` of a list in the public format, with rules from the suppliers."""

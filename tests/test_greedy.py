@@ -60,14 +60,6 @@ def test_special_cases(spark, data):
     assert got == walk(data)
 
 
-@pytest.mark.parametrize("target", [0, 1, 7, 1000])
-def test_target_is_a_prefix_of_the_walk(spark, monkeypatch, target):
-    data = random_certs(9, 200, 40)
-    monkeypatch.setattr(greedy, "PREFIX_ROWS", 60)
-    got = [(r["ord"], r["clean"]) for r in greedy.target_hits(options(spark, data), target).orderBy("ord").collect()]
-    assert got == walk(data, target=target)
-
-
 def sizes(certs):
     return certs.groupBy("log_uri").agg((F.max("log_index") + 1).alias("tree_size"))
 
@@ -76,14 +68,17 @@ def scan_key(n, batch):
     return lambda i: ((n - 1 - i) // batch, i)
 
 
-def test_scan_of_one_log(spark, make_certs):
+@pytest.mark.parametrize("target, factor", [(0, 1), (1, 1), (9, 1), (9, 3), (9, 100), (1000, 1)])
+def test_scan_of_one_log(spark, make_certs, monkeypatch, target, factor):
+    monkeypatch.setattr(pl, "TAIL_FACTOR", factor)
+    monkeypatch.setattr(pl, "TAIL_GROWTH", 2)
     rng = random.Random(5)
     sans = [[f"{'*.' if rng.random() < .3 else ''}n{rng.randrange(12)}.com" for _ in range(rng.randrange(1, 4))] for _ in range(40)]
     certs = make_certs(sans)
     order = sorted(range(40), key=scan_key(40, 7))
     clean = lambda n: n[2:] if n.startswith("*.") else n
-    want = walk([(k, [clean(n) for n in sans[i]]) for k, i in enumerate(order)], target=9)
-    opts = pl.ScanOptions(batch_size=7, target=9)
+    want = walk([(k, [clean(n) for n in sans[i]]) for k, i in enumerate(order)], target=target)
+    opts = pl.ScanOptions(batch_size=7, target=target)
     got = pl.scan_logs(certs, sizes(certs), opts).orderBy("ord").collect()
     assert [(r["log_index"], r["clean"]) for r in got] == [(order[k], n) for k, n in want]
     assert all(r["domain"] in sans[r["log_index"]] and r["rule_name"] == "all" for r in got)
@@ -109,7 +104,7 @@ def test_nxdomain_scan_reports_stripped_names(spark, make_certs):
     assert got == [(0, "gone.com")]
 
 
-def test_session_over_logs(spark, make_certs):
+def test_session_over_logs(spark, make_certs, monkeypatch):
     logs = spark.createDataFrame(
         [("new b", "https://b2", "2026-01-01", "N/A", "usable", "B"), ("old b", "https://b1/", "2025-01-01", "N/A", "usable", "B"),
          ("a", "https://a/", "2024-01-01", "N/A", "usable", "A")],
@@ -129,8 +124,22 @@ def test_session_over_logs(spark, make_certs):
     opts = pl.ScanOptions(target=None)
     got = pl.scan_session(certs, sizes(certs), logs, opts).orderBy("ord").collect()
     assert [(r["log_uri"], r["log_index"], r["clean"]) for r in got] == [(line[k][2], line[k][3], n) for k, n in want]
-    limited = pl.scan_session(certs, sizes(certs), logs, pl.ScanOptions(target=2)).collect()
-    assert len(limited) == 2
+    for target in (1, 2, 3, 4):
+        # The tries end inside, at and behind the first log.
+        monkeypatch.setattr(pl, "TAIL_FACTOR", 1)
+        opts = pl.ScanOptions(target=target, batch_size=1)
+        got = pl.scan_session(certs, sizes(certs), logs, opts).collect()
+        tails = line_in_batches(sans)
+        want = walk([(k, s) for k, s, _, _ in tails], target=target)
+        assert [(r["log_uri"], r["log_index"], r["clean"]) for r in got] == [(tails[k][2], tails[k][3], n) for k, n in want]
+
+
+def line_in_batches(sans):
+    """The session's certificates in scan order with batches of one: each log from its tail."""
+    line = []
+    for uri in ("https://a/", "https://b2/", "https://b1/"):
+        line += [(uri, i) for i in reversed(range(len(sans[uri])))]
+    return [(k, sans[u][i], u, i) for k, (u, i) in enumerate(line)]
 
 
 def test_resume_goes_on_below_the_checkpoint(spark, make_certs):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from certmill.functions import framing as fr
 from certmill.operators import scan
+from certmill.plans.joins import spread_join
 from certmill.session import stored
 
 
@@ -16,10 +17,14 @@ def decode_entries(entries: DataFrame) -> DataFrame:
     """
     leaf, extra = F.col("_leaf"), F.col("_extra")
     ms = fr.leaf_timestamp(leaf)
-    # One step per level of framing keeps every expression small enough to be compiled.
+    # The generator keeps later filters from repeating the base64 step; one step per
+    # level of framing keeps every expression small enough to be compiled.
+    packed = F.struct(
+        fr.from_base64(F.col("entry.leaf_input")).alias("_leaf"),
+        fr.from_base64(F.coalesce(F.col("entry.extra_data"), F.lit(""))).alias("_extra"),
+    )
     return (
-        entries.withColumn("_leaf", fr.from_base64(F.col("entry.leaf_input")))
-        .withColumn("_extra", fr.from_base64(F.coalesce(F.col("entry.extra_data"), F.lit(""))))
+        entries.select("*", F.inline(F.array(packed)))
         .withColumn("_head", fr.header_error(leaf))
         .withColumn("_data", F.when(F.col("_head").isNull(), fr.payload(leaf, extra)))
         .withColumn("_size", fr.payload_size(F.col("_data")))
@@ -93,9 +98,8 @@ def parsed_rows(decoded: DataFrame, certs: DataFrame) -> DataFrame:
     """Decoded entries with the certificate fields that ``certs`` holds for the same bytes.
 
     ``certs`` has ``fingerprint`` and the field columns. Both sides are large,
-    so this is a shuffle join on the digest, which spreads evenly. Equal
-    certificates in many entries share a digest: the field side is made unique
-    first and adaptive execution splits such a digest.
+    so this is a shuffle join on the digest; the field side is made unique
+    first, and a digest that very many entries share is spread over many tasks.
     """
     # The inner join drops refused entries: their digest is null.
     good = decoded.withColumn("fingerprint", fr.fingerprint(F.col("der")))
@@ -105,7 +109,7 @@ def parsed_rows(decoded: DataFrame, certs: DataFrame) -> DataFrame:
     known = certs.groupBy("fingerprint").agg(
         F.min(F.struct(*fields)).alias("_f")
     )
-    joined = good.join(known, "fingerprint").select("*", "_f.*")
+    joined = spread_join(good, known, ["fingerprint"], "inner").select("*", "_f.*")
     return joined.select(
         "index", "timestamp_ms", "timestamp_utc",
         "issuer_cn", "issuer_org", "subject_cn", "subject_org", "not_before", "not_after",

@@ -20,6 +20,7 @@ Spark pick broadcast joins once few certificates are left.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql.types import StructType
 
 from certmill.session import new_table_path, stored
 
@@ -33,6 +34,11 @@ def assign(options: DataFrame) -> DataFrame:
     """
     spark = options.sparkSession
     base = new_table_path(spark, "assign")
+
+    def read(schema: StructType, *paths: str) -> DataFrame:
+        # With its schema given, opening a round's table needs no job.
+        return spark.read.schema(schema).parquet(*paths)
+
     moving = options.where(F.size("names") > 0).select("ord", F.lit(0).alias("step"), "names")
     held: list[str] = []
     while True:
@@ -42,21 +48,22 @@ def assign(options: DataFrame) -> DataFrame:
         bids = fresh
         if held:
             # One row per name and round at most, so no name is hot among the owners.
-            owners = _owners_of(spark.read.parquet(*held), fresh)
+            owners = _owners_of(read(log, *held), fresh)
             bids = fresh.unionByName(owners.withColumn("fresh", F.lit(False)))
         won = f"{base}/won-{len(held)}"
-        (
+        best = (
             bids.groupBy("name")
             .agg(F.min("ord").alias("ord"), F.min_by("step", "ord").alias("step"),
                  F.min_by("fresh", "ord").alias("fresh"))
             .where("fresh").drop("fresh")
-            .write.parquet(won)
         )
-        winners = spark.read.parquet(won)
+        best.write.parquet(won)
+        log = best.schema
+        winners = read(log, won)
         refused = moving.join(winners.select("ord"), "ord", "left_anti")
         if held:
             # Owners whose names change hands in this round move on as well.
-            displaced = _owners_of(spark.read.parquet(*held), winners)
+            displaced = _owners_of(read(log, *held), winners)
             refused = refused.unionByName(
                 displaced.select("ord", "step").join(options, "ord").select("ord", "step", "names")
             )
@@ -70,8 +77,8 @@ def assign(options: DataFrame) -> DataFrame:
         )
         held.append(won)
         if seen.get["n"] == 0:
-            return _owners(spark.read.parquet(*held))
-        moving = spark.read.parquet(path)
+            return _owners(read(log, *held))
+        moving = read(moving.schema, path)
 
 
 def _owners(log: DataFrame) -> DataFrame:

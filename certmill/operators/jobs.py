@@ -51,7 +51,7 @@ def skip_known(named: DataFrame, known: DataFrame, name: str = "domain") -> Data
     """Rows whose name is not known; both sides are compared without wildcard."""
     seen = known.select(strip_wildcard(F.col("domain")).alias("_clean")).distinct()
     marked = named.withColumn("_clean", strip_wildcard(F.col(name)))
-    return lookup_join(marked, seen, "_clean", "left_anti").drop("_clean")
+    return lookup_join(marked, seen, "_clean", "left_anti", check=known.select("domain")).drop("_clean")
 
 
 def skip_known_options(certs: DataFrame, known: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def skip_known_options(certs: DataFrame, known: DataFrame) -> DataFrame:
     seen = known.select(strip_wildcard(F.col("domain")).alias("_name")).distinct()
     pairs = certs.select("ord", F.explode(F.transform("options", lambda o: o["clean"])).alias("_name"))
     bad = (
-        lookup_join(pairs, seen, "_name", "left_semi")
+        lookup_join(pairs, seen, "_name", "left_semi", check=known.select("domain"))
         .groupBy("ord")
         .agg(F.collect_set("_name").alias("_bad"))
     )

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from certmill.functions import names as nm
-from certmill.plans.joins import MAX_BYTES, MAX_ROWS, fits_broadcast
+from certmill.plans.joins import fits_broadcast, spread_join
 from certmill.schemas import NOT_AVAILABLE, UNKNOWN
 
 # Verdict texts.
@@ -50,7 +50,7 @@ def with_public_suffix(named: DataFrame, rules: DataFrame, name: str = "domain")
     """
     keyed = _by_depth(rules)
     depth = keyed.agg(F.max("_depth")).first()[0] or 0
-    small = fits_broadcast(rules, MAX_ROWS, MAX_BYTES)
+    small = fits_broadcast(rules)
     host = F.col("host")
     out = named.withColumn("kind", nm.name_kind(F.col(name))).withColumn(
         "host", F.when(F.col("kind") == "dns_name", nm.canonical_host(F.col(name)))
@@ -59,11 +59,12 @@ def with_public_suffix(named: DataFrame, rules: DataFrame, name: str = "domain")
     out = out.withColumns({f"_t{d}": nm.last_labels(host, d) for d in range(1, depth + 1)})
     for d in range(1, depth + 1):
         side = keyed.where(F.col("_depth") == d).select(
-            F.col("_key").alias(f"_key{d}"),
+            F.col("_key").alias(f"_t{d}"),
             F.struct("plain", "wildcard", "exception").alias(f"_r{d}"),
         )
-        side = F.broadcast(side) if small else side
-        out = out.join(side, F.col(f"_t{d}") == F.col(f"_key{d}"), "left").drop(f"_key{d}", f"_t{d}")
+        # One suffix may hold half of all names: beyond the bound the join spreads it.
+        joined = out.join(F.broadcast(side), f"_t{d}", "left") if small else spread_join(out, side, [f"_t{d}"])
+        out = joined.drop(f"_t{d}")
 
     choice = F.when(F.lit(False), F.struct(F.lit(0).alias("labels"), F.lit("").alias("section")))
 

@@ -179,12 +179,13 @@ def test_target_fingerprint():
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_salted_join_equals_the_broadcast(spark, how):
+def test_spread_join_equals_the_broadcast(spark, how):
     big = spark.range(2000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 50) END AS k", "id")
     small = spark.range(30).selectExpr("concat('k', id) AS k", "id * 10 AS v").union(spark.createDataFrame([("hot", 1)], "k string, v bigint"))
     a = joins.lookup_join(big, small, "k", how)
     b = joins.lookup_join(big, small, "k", how, max_rows=5)
     assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+    assert "_salt" in b._jdf.queryExecution().analyzed().toString()
     assert "BroadcastExchange" in a._jdf.queryExecution().executedPlan().toString()
 
 
@@ -193,3 +194,18 @@ def test_size_check(spark):
     assert not joins.fits_broadcast(spark.range(11), max_rows=10)
     wide = spark.createDataFrame([(b"x" * 1000,)] * 5, "d binary")
     assert not joins.fits_broadcast(wide, max_bytes=4000) and joins.fits_broadcast(wide, max_bytes=8000)
+
+
+def test_hot_key_is_spread_over_tasks(spark):
+    big = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id) END AS k", "id")
+    other = big.select("k").distinct().withColumn("v", F.length("k"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = joins.spread_join(big, other, ["k"], "inner")
+        tasks = out.where("k = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(tasks) == 4 and sum(t["count"] for t in tasks) == 10_000
+    assert out.count() == 30_000

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from certmill.functions import framing as fr
 from certmill.operators import scan
-from certmill.plans.joins import spread_join
+from certmill.plans.joins import spread_join, with_kept
 from certmill.session import stored
 
 
@@ -101,8 +101,8 @@ def parsed_rows(decoded: DataFrame, certs: DataFrame) -> DataFrame:
     so this is a shuffle join on the digest; the field side is made unique
     first, and a digest that very many entries share is spread over many tasks.
     """
-    # The inner join drops refused entries: their digest is null.
-    good = decoded.withColumn("fingerprint", fr.fingerprint(F.col("der")))
+    # Refused entries have no digest.
+    good = with_kept(decoded, "fingerprint", fr.fingerprint(F.col("der")), lambda d: d.isNotNull())
     fields = [
         "issuer_cn", "issuer_org", "subject_cn", "subject_org", "not_before", "not_after", "san",
     ]

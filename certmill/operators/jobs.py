@@ -5,13 +5,13 @@ Operators that change a table return its next version; the caller writes it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from certmill.functions.names import strip_wildcard
 from certmill.operators.loglist import slash_url
 from certmill.plans.joins import lookup_join
+from certmill.plans.numbering import number_rows
 from certmill.schemas import EXPORT_COLUMNS, JOBS, MATCHES, SESSIONS
-from certmill.session import stored
 
 RUNNING = "running"
 COMPLETED = "completed"
@@ -225,35 +225,11 @@ def export_rows(matches: DataFrame, jobs: DataFrame, job_id: int | None = None)
         rows = lookup_join(matches, known, "job_id", "left_semi")
     else:
         rows = _one(matches, "job_id", job_id)
-    return number_rows(rows, "id").withColumnRenamed("rule_name", "matched_rule").select(
+    return number_rows(rows, ["id"]).withColumnRenamed("rule_name", "matched_rule").select(
         *EXPORT_COLUMNS
     )
 
 
-def number_rows(rows: DataFrame, key: str) -> DataFrame:
-    """Add ``index``, the 1-based number of a row by unique ``key``, without one big sort task.
-
-    Rows are range partitioned and sorted; each counts from its partition's
-    start, and the partitions' sizes, a few thousand numbers, give the starts.
-    The sorted rows are stored, so both reads see the same partitions.
-    """
-    numbered = stored(
-        rows.repartitionByRange(F.col(key))
-        .sortWithinPartitions(key)
-        .withColumn("_at", F.monotonically_increasing_id()),
-        "numbered",
-    )
-    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = numbered.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return (
-        lookup_join(numbered.withColumn("_p", part), starts, "_p", "inner")
-        .withColumn("index", F.col("_base") + place + 1)
-        .drop("_p", "_at", "_base")
-    )
-
-
 # --- next versions of the tables -------------------------------------------------------
 
 def apply_checkpoints(jobs: DataFrame, progress: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from certmill.functions import names as nm
-from certmill.plans.joins import fits_broadcast, spread_join
+from certmill.plans.joins import fits_broadcast, spread_join, with_kept
 from certmill.schemas import NOT_AVAILABLE, UNKNOWN
 
 # Verdict texts.
@@ -157,10 +157,7 @@ def require_icann(certs: DataFrame, rules: DataFrame) -> DataFrame:
 
     Only the keys of failing names are shuffled against the certificates.
     """
-    failing = (
-        with_verdict(_checked_names(certs), rules)
-        .where((F.col("kind") == "dns_name") & ~F.col("ok"))
-        .select("log_uri", "log_index")
-        .distinct()
-    )
+    judged = with_public_suffix(_checked_names(certs), rules)
+    bad = (F.col("kind") == "dns_name") & (F.col("psl_section") != "icann")
+    failing = with_kept(judged, "_bad", bad, lambda b: b).select("log_uri", "log_index").distinct()
     return certs.join(failing, ["log_uri", "log_index"], "left_anti")

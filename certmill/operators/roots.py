@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from certmill.functions import framing as fr
 from certmill.operators.loglist import slash_url
 from certmill.plans.joins import lookup_join
+from certmill.plans.numbering import number_within
 from certmill.schemas import DASH
 
 
@@ -92,23 +93,7 @@ def roots_by_log(logs: DataFrame, log_roots: DataFrame, subjects: DataFrame) ->
 
 
 def _number_in_log(roots: DataFrame) -> DataFrame:
-    """Add ``root_no``, 1-based in each log.
-
-    Without places in the answer, digests are cut into 4,096 even ranges. Each
-    range of a log is numbered on its own and raised by the counts before it,
-    so a log with very many roots is many tasks.
-    """
+    """Add ``root_no``, 1-based in each log."""
     if "pos" in roots.columns:
         return roots.withColumn("root_no", F.col("pos").cast("bigint") + 1)
-    cut = roots.withColumn("_b", F.substring("fingerprint_sha256", 1, 3))
-    before = W.partitionBy("url").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    bases = cut.groupBy("url", "_b").agg(F.count(F.lit(1)).alias("_n")).select(
-        "url", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")
-    )
-    inside = W.partitionBy("url", "_b").orderBy("fingerprint_sha256")
-    return (
-        cut.withColumn("_rn", F.row_number().over(inside))
-        .join(bases, ["url", "_b"])
-        .withColumn("root_no", F.col("_base") + F.col("_rn"))
-        .drop("_b", "_rn", "_base")
-    )
+    return number_within(roots, "url", ["fingerprint_sha256"], "root_no")

@@ -60,9 +60,9 @@ def spread_join(
         return big.join(other, keys, how)
     is_hot = F.xxhash64(*keys).isin(hot)
     plain = [c for c, t in big.dtypes if "map<" not in t and "variant" not in t]
-    spread = big.withColumn(
-        "_salt", F.when(is_hot, F.pmod(F.xxhash64(*plain), F.lit(salts))).otherwise(0).cast("int")
-    )
+    number = F.when(is_hot, F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
+    # Never null, so the join adds no filter that would compute the number twice.
+    spread = big.withColumn("_salt", F.coalesce(number, F.lit(0)))
     numbers = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     copies = other.withColumn("_salt", F.explode(numbers))
     return spread.join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from certmill.operators import jobs as jb
+from certmill.plans.numbering import number_rows
 from certmill.schemas import EXPORT_COLUMNS, JOBS, MATCHES, SESSIONS
 
 URI = "https://a.example/"
@@ -115,9 +116,9 @@ def test_row_numbers_with_uneven_keys(spark):
     rng = random.Random(3)
     keys = rng.sample(range(10**6), 3000) + [10**15, 2 * 10**15, -5]
     df = spark.createDataFrame([(k,) for k in keys], "id bigint")
-    got = {r["id"]: r["index"] for r in jb.number_rows(df, "id").collect()}
+    got = {r["id"]: r["index"] for r in number_rows(df, ["id"]).collect()}
     assert got == {k: i for i, k in enumerate(sorted(keys), 1)}
-    assert jb.number_rows(df.where("id = 7.5"), "id").collect() == []
+    assert number_rows(df.where("id = 7.5"), ["id"]).collect() == []
 
 
 def test_checkpoints_and_status_changes(spark, tables):

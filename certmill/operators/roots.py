@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, functions as F
 
 from certmill.functions import framing as fr
@@ -13,8 +15,6 @@ from certmill.schemas import DASH
 
 def target_fingerprint(text: str | None = None, der: bytes | None = None) -> str:
     """The SHA-256 digest to look for, from hexadecimal text or from certificate bytes."""
-    import hashlib
-
     if (text is None) == (der is None):
         raise ValueError("give either a fingerprint or certificate bytes")
     if der is not None:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from certmill.functions import dns, fields, framing as fr, names as nm
 from certmill.functions.registry import register_functions
 from certmill.operators import (
-    certs as ct, dnsobs, entries as en, greedy, jobs as jb, loglist as ll, psl, roots as rt,
+    certs as ct, dnsobs, entries as en, jobs as jb, loglist as ll, psl, roots as rt,
     rules as rl, scan, scts as sc,
 )
 from certmill.plans import pipelines as pl
@@ -27,7 +27,6 @@ SQL: dict[str, str] = {}
 
 NOW = "2026-02-01 00:00:00"
 TARGET_ROOT = rt.target_fingerprint(der=b"root-7")
-ROOT_7_SQL = "sha256('root-7')"
 
 
 def query(name: str, sql: str | None = None):
@@ -81,22 +80,17 @@ def _documents_path(x: Fixtures) -> str:
 
 # --- 2.1 sources, scans, sinks -----------------------------------------------------------
 
-_ENTRY_SHAPE = (
-    "SELECT index, CASE WHEN k = 48 THEN '@@@' ELSE NULL END AS broken, k = 49 AS short FROM entries"
-)
-
-
 @query("src_dump_jsonl", with_("entries") + """
-SELECT index, CASE WHEN error = 'bad_base64' THEN 4 WHEN k = 49 THEN 8
+SELECT index, CASE WHEN k = 48 THEN 3 WHEN k = 49 THEN 8
   ELSE 4 * ((12 + (CASE WHEN t = 0 THEN 3 + octet_length(encode(body)) ELSE 0 END) + 2) // 3) END AS leaf_chars,
   CASE WHEN t = 1 AND k <> 45 THEN 4 * ((3 + octet_length(encode(body)) + 2) // 3) ELSE 0 END AS extra_chars
-FROM (SELECT * REPLACE (CASE WHEN k = 48 THEN 'bad_base64' ELSE error END AS error) FROM entries)""")
+FROM entries""")
 def _(x):
     return dump.read_dump(x.spark, _dump_path(x)).select(
         "index",
-        F.when(F.col("entry.leaf_input") == "@@@", 4).otherwise(F.length("entry.leaf_input")).cast("bigint").alias("leaf_chars"),
+        F.length("entry.leaf_input").cast("bigint").alias("leaf_chars"),
         F.length("entry.extra_data").cast("bigint").alias("extra_chars"),
-    ).withColumn("leaf_chars", F.when(F.col("leaf_chars") == 3, 4).otherwise(F.col("leaf_chars")))
+    )
 
 
 @query("src_log_list", with_("logs") + """
@@ -172,12 +166,13 @@ def _(x):
 @query("src_cert_files", "SELECT 'part-' || p_partkey || ': ' || p_name AS der FROM part")
 def _(x):
     rows = x.table("part").selectExpr(
-        "p_partkey AS log_index", "cast(concat('part-', p_partkey, ': ', p_name) AS binary) AS der"
+        "p_partkey AS log_index", "p_size > 25 AS large",
+        "cast(concat('part-', p_partkey, ': ', p_name) AS binary) AS der",
     )
     folder = new_table_path(x.spark, "cert-files")
-    pem = rows.where("log_index % 2 = 0")
-    sk.write_cert_files(pem, f"{folder}/pem", "pem")
-    sk.write_cert_files(rows.join(pem.select("log_index"), "log_index", "left_anti"), f"{folder}/der", "der")
+    # Every part is a file: the large ones as PEM, the others as DER.
+    sk.write_cert_files(rows.where("large"), f"{folder}/pem", "pem")
+    sk.write_cert_files(rows.where("NOT coalesce(large, false)"), f"{folder}/der", "der")
     return certfiles.read_cert_files(x.spark, folder, "*.[pd]e[mr]").select(F.col("der").cast("string").alias("der"))
 
 
@@ -282,7 +277,7 @@ def _(x):
 
 # --- 2.2 framing decode and projections ----------------------------------------------------
 
-def _leaf() :
+def _leaf():
     return fr.from_base64(F.col("entry.leaf_input"))
 
 
@@ -552,11 +547,14 @@ def _(x):
 
 
 @query("psl_wildcards", with_("suffixes") + """
-SELECT host, public_suffix, psl_section FROM suffixes WHERE host LIKE '%.ck' AND kind = 'dns_name'
-GROUP BY ALL""")
+SELECT DISTINCT host, public_suffix, psl_section, public_suffix LIKE '%.ck' AS by_wildcard,
+  host LIKE '%.www.ck' AS by_exception FROM suffixes WHERE kind = 'dns_name'""")
 def _(x):
-    hosts = _named(x).where(nm.canonical_host(F.col("domain")).endswith(".ck")).select("domain")
-    return psl.with_public_suffix(hosts, x.psl_rules()).select("host", "public_suffix", "psl_section").distinct()
+    found = psl.with_public_suffix(_named(x).select("domain"), x.psl_rules()).where("kind = 'dns_name'")
+    return found.select(
+        "host", "public_suffix", "psl_section", F.endswith(F.col("public_suffix"), F.lit(".ck")).alias("by_wildcard"),
+        F.endswith(F.col("host"), F.lit(".www.ck")).alias("by_exception"),
+    ).distinct()
 
 
 @query("psl_public_suffix", with_("expanded", "suffixes") + """
@@ -925,7 +923,7 @@ def flagship(x: Fixtures) -> DataFrame:
     return scan.target_limit(placed, 100).select("log_uri", "log_index", "domain", "scan_batch")
 
 
-@query("parse_limit", _PARSED_SQL.replace("SELECT index, timestamp_ms,", "SELECT index, timestamp_ms,", 1) + " ORDER BY index LIMIT 500")
+@query("parse_limit", _PARSED_SQL + " ORDER BY index LIMIT 500")
 def _(x):
     return sk.parsed_csv_frame(en.parse_limit(_parsed(x), 500))
 
@@ -1008,12 +1006,12 @@ def _(x):
 
 @query("upsert_checkpoint", with_("jobs", "arrivals") + """
 , p AS (SELECT job_id, arg_max(log_index, id) AS next_end_index, arg_max(log_index % 90, id) AS matched_count,
-    '2026-02-' || lpad(CAST(max(id) AS VARCHAR), 20, '0') AS updated_at FROM arrivals WHERE job_id % 2 = 0 GROUP BY job_id)
+    '2026-02-' || lpad(CAST(max(id) AS VARCHAR), 20, '0') AS updated_at FROM arrivals GROUP BY job_id)
 SELECT j.id, coalesce(p.next_end_index, j.next_end_index) AS next_end_index,
   coalesce(p.matched_count, j.matched_count) AS matched_count, coalesce(p.updated_at, j.updated_at) AS updated_at
 FROM jobs j LEFT JOIN p ON p.job_id = j.id""")
 def _(x):
-    progress = x.arrivals().where("job_id % 2 = 0").selectExpr(
+    progress = x.arrivals().selectExpr(
         "job_id", "log_index AS next_end_index", "log_index % 90 AS matched_count",
         "concat('2026-02-', lpad(cast(id AS string), 20, '0')) AS updated_at",
     )

@@ -4,7 +4,6 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from certmill.functions import framing as fr
 from certmill.operators import loglist as ll, roots as rt, scts as sc
 from certmill.plans import joins
 from certmill.sources import loglist as src

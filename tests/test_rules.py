@@ -2,7 +2,6 @@ import json
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 from certmill.operators import rules as rl, scan
 from certmill.sources.rules import read_rules

@@ -48,13 +48,16 @@ def assign(options: DataFrame) -> DataFrame:
         bids = fresh
         if held:
             # One row per name and round at most, so no name is hot among the owners.
-            owners = _owners_of(read(log, *held), fresh)
+            wanted = fresh.select("name").distinct()
+            owners = _owners(read(log, *held).join(wanted, "name", "left_semi"))
             bids = fresh.unionByName(owners.withColumn("fresh", F.lit(False)))
         won = f"{base}/won-{len(held)}"
+        owned = F.when(~F.col("fresh"), F.struct("ord", "step"))
         best = (
             bids.groupBy("name")
             .agg(F.min("ord").alias("ord"), F.min_by("step", "ord").alias("step"),
-                 F.min_by("fresh", "ord").alias("fresh"))
+                 F.min_by("fresh", "ord").alias("fresh"),
+                 F.max(owned["ord"]).alias("old_ord"), F.max(owned["step"]).alias("old_step"))
             .where("fresh").drop("fresh")
         )
         best.write.parquet(won)
@@ -62,11 +65,11 @@ def assign(options: DataFrame) -> DataFrame:
         winners = read(log, won)
         refused = moving.join(winners.select("ord"), "ord", "left_anti")
         if held:
-            # Owners whose names change hands in this round move on as well.
-            displaced = _owners_of(read(log, *held), winners)
-            refused = refused.unionByName(
-                displaced.select("ord", "step").join(options, "ord").select("ord", "step", "names")
+            # Owners whose names changed hands in this round move on as well.
+            displaced = winners.where(F.col("old_ord").isNotNull()).select(
+                F.col("old_ord").alias("ord"), F.col("old_step").alias("step")
             )
+            refused = refused.unionByName(displaced.join(options, "ord").select("ord", "step", "names"))
         seen = Observation()
         path = f"{base}/moving-{len(held) + 1}"
         (
@@ -88,11 +91,6 @@ def _owners(log: DataFrame) -> DataFrame:
     )
 
 
-def _owners_of(log: DataFrame, names: DataFrame) -> DataFrame:
-    """Present owners of the names that occur in ``names``."""
-    return _owners(log.join(names.select("name").distinct(), "name", "left_semi"))
-
-
 def greedy_hits(certs: DataFrame) -> DataFrame:
     """Certificates with ``ord`` and ``options`` to hits with ``domain``, ``clean`` and ``rule_name``."""
     table = stored(certs, "candidates")

@@ -165,3 +165,17 @@ def test_log_ranks(spark):
     )
     got = {r["log_uri"]: r["log_rank"] for r in ll.log_ranks(logs).collect()}
     assert got == {"https://z/": 0, "https://y/": 1, "https://x/": 2}
+
+
+def test_tail_reaches_the_scan(spark, make_certs, tmp_path):
+    for uri in ("https://a/", "https://b/", "https://c/"):
+        make_certs([[f"n{i}"] for i in range(20)], log_uri=uri).write.mode("append").partitionBy("log_uri").parquet(str(tmp_path / "certs"))
+    certs = spark.read.parquet(str(tmp_path / "certs"))
+    heads = [("https://a/", 20), ("https://b/", 20), ("https://c/", 20)]
+    one = pl._tail(certs, heads, 7, 5)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(log_index,10)" in plan and "PartitionFilters: [isnotnull(log_uri" in plan
+    assert sorted((r["log_uri"], r["log_index"]) for r in one.collect()) == [("https://a/", i) for i in range(10, 20)]
+    two = pl._tail(certs, heads, 23, 5)
+    assert two.groupBy("log_uri").count().count() == 2 and two.count() == 25
+    assert pl._tail(certs, heads, 60, 5).count() == 60

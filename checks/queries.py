@@ -13,7 +13,7 @@ from certmill.operators import (
     certs as ct, dnsobs, entries as en, jobs as jb, loglist as ll, psl, roots as rt,
     rules as rl, scan, scts as sc,
 )
-from certmill.plans import pipelines as pl
+from certmill.plans import audits as pl
 from certmill.session import new_table_path
 from certmill.sinks import files as sk
 from certmill.sources import certfiles, dump, loglist as sll, psl as spsl, roots as srt, rules as srl

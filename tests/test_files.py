@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from certmill.operators import certs as ct, entries as en, jobs as jb
-from certmill.plans import pipelines as pl
+from certmill.plans import audits as pl
 from certmill.schemas import PARSED_COLUMNS
 from certmill.sinks import files as sk
 from certmill.sources.certfiles import read_cert_files

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from certmill.operators import greedy, jobs as jb, loglist as ll
-from certmill.plans import pipelines as pl
+from certmill.plans import audits as pl
 
 
 def walk(certs, known=(), target=None):

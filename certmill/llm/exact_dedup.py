@@ -16,6 +16,7 @@ one large shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -105,7 +106,7 @@ def _next_names(named: DataFrame, key: Callable[..., Column]) -> DataFrame:
     pairs = named.withColumn(
         "pairs", F.transform(F.sequence(F.lit(0), F.expr("cast((size(names) - 1) div 2 as int)")), both)
     )
-    found = pairs.filter(F.size("names") > 1).select(F.explode("pairs").alias("p")).select("p.*").filter("right is not null")
+    found = pairs.select(F.explode("pairs").alias("p")).select("p.*").filter("right is not null")
     contents = found.select(*[F.col(p).alias(f) for p, f in zip(pair, flat, strict=True)])
     ranks = _ranks(contents.withColumn("key", key(*[F.col(f) for f in flat])), flat)
 
@@ -120,7 +121,7 @@ def _next_names(named: DataFrame, key: Callable[..., Column]) -> DataFrame:
         "row_id", "doc_id", "text_sha256", "n_bytes", "pos", name(F.col("p")).alias("new"),
         *[F.col(f"p.{p}").alias(f) for p, f in zip(pair, flat, strict=True)],
     ).select("*", F.col("new.key").alias("key"), F.col("new.rank").alias("old_rank"))
-    return stored(_named_apart(rows.drop("new"), ranks, flat), "names")
+    return _named_apart(rows.drop("new"), ranks, flat)
 
 
 def name_documents(
@@ -136,11 +137,16 @@ def name_documents(
     others, whatever ``key`` does. A null text is an empty one, an empty text is
     one empty block. Other columns of ``docs`` are not read.
     """
-    named = _first_names(docs, doc_id, text, block, key)
-    names = named.agg(F.max(F.size("names"))).first()[0] or 1
+    # A level is stored, so the next one does not compute it again for each name; a
+    # document leaves when it has one name, so levels shrink.
+    level = _first_names(docs, doc_id, text, block, key)
+    names = level.agg(F.max(F.size("names"))).first()[0] or 1
+    done = [level.filter(F.size("names") == 1)]
     while names > 1:
-        named = _next_names(named, key)
+        level = stored(_next_names(level.filter(F.size("names") > 1), key), "names")
+        done.append(level.filter(F.size("names") == 1))
         names = (names + 1) // 2
+    named = reduce(DataFrame.unionByName, done)
     return named.select("row_id", "doc_id", "text_sha256", "n_bytes", F.get("names", F.lit(0)).alias("name")).select(
         "row_id", "doc_id", "text_sha256", "n_bytes", "name.key", "name.rank"
     )

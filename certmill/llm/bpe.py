@@ -81,7 +81,9 @@ class Coder:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.narrow, self.wide = _splitters(pattern)
+        # Two generations: when the younger is full it becomes the older, and words in use move back.
         self.words: dict[str, tuple[int, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes]] = {}
         merges = [
             (self.ranks[t[:i]], self.ranks[t[i:]], r)
             for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks
@@ -167,10 +169,14 @@ class Coder:
 
     def learn(self, split: list[list[str]]) -> None:
         """Encode and decode the words that are not in the cache."""
-        missing = list({w for words in split for w in words if w not in self.words})
+        missing = {w for words in split for w in words if w not in self.words}
         if len(self.words) + len(missing) > CACHE_ROWS:
-            self.words.clear()
-            missing = list({w for words in split for w in words})
+            self.older, self.words = self.words, {}
+            missing = {w for words in split for w in words}
+        for w in [w for w in missing if w in self.older]:
+            self.words[w] = self.older[w]
+            missing.discard(w)
+        missing = list(missing)
         ids = self.encode_words([w.encode("utf-8") for w in missing])
         for w, x, back in zip(missing, ids, self.decode_lists(ids), strict=True):
             self.words[w] = (len(x), ",".join(map(str, x)), back)

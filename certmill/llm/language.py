@@ -39,12 +39,11 @@ def hashed_ngrams(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np
     Whatever is no letter counts as a space; n-grams without a letter are left out.
     """
     lower = [(t or "").lower() for t in texts]
-    code = np.frombuffer((" " + "  ".join(lower) + "  ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = np.frombuffer(("  " + "  ".join(lower) + "  ").encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[code]
     c = np.where(letter, code, np.uint32(32))
-    # A text's n-grams start at the space before it, up to its last character.
+    # A text's n-grams start from the two spaces before it up to its last character.
     ends = np.cumsum([len(t) + 2 for t in lower])
-    owner_end = ends - 1
     a, b, d = c[:-2], c[1:-1], c[2:]
     with np.errstate(over="ignore"):
         two = (a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))
@@ -57,7 +56,7 @@ def hashed_ngrams(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np
     keep = np.stack([out[0][1], out[1][1]], axis=1).ravel()
     grams = np.stack([out[0][0], out[1][0]], axis=1).ravel()[keep]
     upto = np.concatenate([[0], np.cumsum(keep)])
-    at = upto[2 * np.minimum(owner_end, len(a))]
+    at = upto[2 * np.minimum(ends, len(a))]
     return grams.astype(np.int64), np.diff(np.concatenate([[0], at]))
 
 

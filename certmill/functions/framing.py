@@ -151,30 +151,52 @@ def pem_to_der(raw: Column) -> Column:
     return F.when(F.contains(text, F.lit("-----BEGIN")), packed).otherwise(raw)
 
 
-def split_scts(blob: Column) -> Column:
-    """The serialized timestamps of a list: 2-byte total, then 2-byte length and bytes each.
+def _walk_scts(blob: Column) -> Column:
+    """The parts of a timestamp list, where the walk ended, and how many parts were too short.
 
-    A serialized timestamp has at least 47 bytes, which bounds the walk.
+    A serialized timestamp has at least 47 bytes, which bounds the walk; a shorter
+    part is stepped over.
     """
     total = F.length(blob)
     steps = F.sequence(F.lit(1), F.greatest(F.lit(1), (total / 49).cast("int") + 1))
     start = F.struct(
-        F.lit(3).alias("at"), F.array().cast("array<binary>").alias("items")
+        F.lit(3).alias("at"), F.array().cast("array<binary>").alias("items"), F.lit(0).alias("short")
     )
 
     def step(state: Column, _: Column) -> Column:
         at = state["at"]
         size = F.coalesce(_uint(blob, at, 2).cast("int"), F.lit(0))
-        whole = (at + 1 <= total) & (size >= 47) & (at + 1 + size <= total)
-        # A broken length ends the walk: the position moves behind the last byte.
+        inside = (at + 1 <= total) & (at + 1 + size <= total)
         return F.struct(
-            F.when(whole, at + 2 + size).otherwise(total + 1).alias("at"),
+            F.when(inside, at + 2 + size).otherwise(at).alias("at"),
             F.when(
-                whole, F.concat(state["items"], F.array(F.substring(blob, at + 2, size)))
+                inside & (size >= 47), F.concat(state["items"], F.array(F.substring(blob, at + 2, size)))
             ).otherwise(state["items"]).alias("items"),
+            (state["short"] + (inside & (size < 47)).cast("int")).alias("short"),
         )
 
-    return F.aggregate(steps, start, step, lambda s: s["items"])
+    return F.aggregate(steps, start, step)
+
+
+def split_scts(blob: Column) -> Column:
+    """The serialized timestamps of a list: 2-byte total, then 2-byte length and bytes each."""
+    return _walk_scts(blob)["items"]
+
+
+def sct_list_error(blob: Column) -> Column:
+    """Why a timestamp list is broken, null when it is whole.
+
+    ``length_mismatch``: the list's own total is not its size. ``bad_length``: a part
+    is too short, or its length leads behind the end.
+    """
+    walked = _walk_scts(blob)
+    declared = F.coalesce(_uint(blob, F.lit(1), 2).cast("int"), F.lit(-1))
+    return F.when(
+        blob.isNotNull(),
+        F.when(declared != F.length(blob) - 2, F.lit("length_mismatch")).when(
+            (walked["short"] > 0) | (walked["at"] != F.length(blob) + 1), F.lit("bad_length")
+        ),
+    )
 
 
 def sct_log_id(sct: Column) -> Column:

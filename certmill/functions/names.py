@@ -9,6 +9,14 @@ _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = f"({_OCTET}\\.){{3}}{_OCTET}"
 
 
+# White space that is cut from both ends of a name.
+BLANKS = " \t\n\r\x0b\x0c"
+
+
+def trimmed(name: Column) -> Column:
+    return F.trim(F.coalesce(name, F.lit("")), F.lit(BLANKS))
+
+
 def strip_wildcard(name: Column) -> Column:
     """The name without one leading ``*.``."""
     return F.when(F.startswith(name, F.lit("*.")), F.substring(name, 3, 2147483647)).otherwise(name)
@@ -16,7 +24,7 @@ def strip_wildcard(name: Column) -> Column:
 
 def canonical_host(name: Column) -> Column:
     """Trimmed, without wildcard labels, lower case, no trailing dots."""
-    bare = strip_wildcard(strip_wildcard(F.trim(F.coalesce(name, F.lit("")))))
+    bare = strip_wildcard(strip_wildcard(trimmed(name)))
     return F.rtrim(F.lower(bare), F.lit("."))
 
 
@@ -39,7 +47,7 @@ def _is_ip(host: Column) -> Column:
 
 def name_kind(name: Column) -> Column:
     """``invalid``, ``ip`` or ``dns_name``."""
-    raw = F.trim(F.coalesce(name, F.lit("")))
+    raw = trimmed(name)
     host = canonical_host(name)
     return (
         F.when((raw == "") | F.startswith(raw, F.lit("__cert:")), F.lit("invalid"))

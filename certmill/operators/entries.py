@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from certmill.functions import framing as fr
+from certmill.functions.fields import missing
 from certmill.operators import scan
-from certmill.plans.joins import spread_join, with_kept
+from certmill.plans.joins import lookup_join, spread_join, with_kept
+from certmill.schemas import PARSED_COLUMNS
 from certmill.session import stored
 
 
@@ -97,8 +99,9 @@ def decode_audit(decoded: DataFrame, tree_sizes: DataFrame, batch_size: int) ->
 def parsed_rows(decoded: DataFrame, certs: DataFrame) -> DataFrame:
     """Decoded entries with the certificate fields that ``certs`` holds for the same bytes.
 
-    ``certs`` has ``fingerprint`` and the field columns. Both sides are large,
-    so this is a shuffle join on the digest; the field side is made unique
+    Every entry that was not refused has a row; without fields its texts are the
+    sentinel, its ``san`` is empty and ``fields_known`` is false. Both sides are
+    large, so this is a shuffle join on the digest; the field side is made unique
     first, and a digest that very many entries share is spread over many tasks.
     """
     # Refused entries have no digest.
@@ -109,16 +112,25 @@ def parsed_rows(decoded: DataFrame, certs: DataFrame) -> DataFrame:
     known = certs.groupBy("fingerprint").agg(
         F.min(F.struct(*fields)).alias("_f")
     )
-    joined = spread_join(good, known, ["fingerprint"], "inner").select("*", "_f.*")
-    return joined.select(
-        "index", "timestamp_ms", "timestamp_utc",
-        "issuer_cn", "issuer_org", "subject_cn", "subject_org", "not_before", "not_after",
-        F.coalesce(F.get("san", F.lit(0)), F.lit("")).alias("domain"),
-        "san",
-        fr.to_base64(F.col("der")).alias("cert_der_b64"),
+    joined = spread_join(good, known, ["fingerprint"], "left").select("*", "_f.*")
+    known_text = {c: F.when(F.col("_f").isNull(), missing(F.col(c))).otherwise(F.col(c)) for c in fields[:-1]}
+    no_names = F.array().cast("array<string>")
+    return (
+        joined.withColumns(known_text)
+        .withColumn("san", F.when(F.col("_f").isNull(), no_names).otherwise(F.col("san")))
+        .withColumn("domain", F.coalesce(F.get("san", F.lit(0)), F.lit("")))
+        .withColumn("cert_der_b64", fr.to_base64(F.col("der")))
+        .select(*PARSED_COLUMNS, F.col("_f").isNotNull().alias("fields_known"))
     )
 
 
+def parsed_first(decoded: DataFrame, certs: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` parsed rows by index: the limit is taken before the fields are joined."""
+    first = stored(decoded.where(F.col("error").isNull()).orderBy("index").limit(limit), "first-entries")
+    asked = first.select(fr.fingerprint(F.col("der")).alias("fingerprint")).distinct()
+    return parsed_rows(first, lookup_join(certs, asked, "fingerprint", "left_semi")).orderBy("index")
+
+
 def parse_limit(parsed: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` parsed rows by index."""
     return parsed.orderBy("index").limit(limit)

@@ -15,21 +15,34 @@ EMPTY_SET = "default"
 NO_RULES = "all"
 UNNAMED = "unnamed"
 
-MAX_RULES = 10_000
+# Names that hits may be filtered by in call form, ``f(domain)``, and the joined columns they stand for.
+_FACTS = {c: c for c in (
+    "dns_status", "dns_rcode", "dns_flags", "dns_exists", "is_nxdomain", "is_dnssec_secure", "is_dnssec_insecure",
+    "psl_public_suffix", "psl_section", "is_icann_domain",
+)} | {"is_br_icann_psl_domain": "is_icann_domain"}
+_FACT_CALL = re.compile(rf"\b({'|'.join(_FACTS)})\s*\(\s*domain\s*\)", re.IGNORECASE)
+_STRIP_CALL = re.compile(r"\bstrip_wildcard\s*\(\s*([\w.]+)\s*\)", re.IGNORECASE)
 
 
 def predicate_text(text: str) -> str:
-    """The predicate without a leading ``WHERE``, with ``matches`` under its built-in name.
+    """The predicate without a leading ``WHERE``, with known calls under built-in names.
 
-    Spark's own function also works inside arrays, which a SQL function does
-    not. Quoted text is left alone.
+    ``matches`` and ``strip_wildcard`` become Spark's own functions, which also work
+    inside arrays, where a SQL function does not; facts in call form, such as
+    ``is_nxdomain(domain)``, become the joined columns. Quoted text is left alone.
     """
     bare = re.sub(r"^\s*where\s+", "", text, flags=re.IGNORECASE).strip()
     parts = re.split(r"('(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\")", bare)
-    parts[::2] = [re.sub(r"\bmatches\s*\(", "regexp_like(", p, flags=re.IGNORECASE) for p in parts[::2]]
+    parts[::2] = [_plain(p) for p in parts[::2]]
     return "".join(parts)
 
 
+def _plain(code: str) -> str:
+    code = re.sub(r"\bmatches\s*\(", "regexp_like(", code, flags=re.IGNORECASE)
+    code = _STRIP_CALL.sub(r"regexp_replace(\1, '^[*][.]', '')", code)
+    return _FACT_CALL.sub(lambda m: _FACTS[m[1].lower()], code)
+
+
 def predicate(text: str) -> Column:
     return F.expr(predicate_text(text))
 
@@ -46,10 +59,8 @@ def expand_names(certs: DataFrame) -> DataFrame:
 
 
 def rule_list(rules: DataFrame) -> list[tuple[str, str]]:
-    """The rules of a rule table in file order; the table is a small setting and its size is checked."""
-    rows = rules.orderBy("pos").select("name", "filter").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+    """The rules of a rule table in file order; they are a setting that people write, read to the driver whole."""
+    rows = rules.orderBy("pos").select("name", "filter").collect()
     return [(r["name"], r["filter"]) for r in rows]
 
 

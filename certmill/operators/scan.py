@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from certmill.functions import fields, names as nm
 from certmill.operators import rules as rl
@@ -72,6 +72,25 @@ def with_scan_position(
     )
 
 
+def outside_tree(df: DataFrame, sizes: DataFrame, index: str = "log_index") -> DataFrame:
+    """Per log the rows that no scan reads: ``beyond_tree`` at or above the tree size, ``no_size`` without one.
+
+    One row per log that has such rows; an audit that reports them loses none silently.
+    """
+    joined = lookup_join(df.select("log_uri", index), sizes.select("log_uri", "tree_size"), "log_uri", "left")
+    beyond, unknown = F.col(index) >= F.col("tree_size"), F.col("tree_size").isNull()
+    return joined.where(beyond | unknown).groupBy("log_uri").agg(
+        F.count_if(beyond).alias("beyond_tree"), F.count_if(unknown).alias("no_size")
+    )
+
+
+def ranks_by_url(sizes: DataFrame) -> DataFrame:
+    """``log_uri`` and ``log_rank`` in URL order; the list of logs is small by nature."""
+    return sizes.select("log_uri").distinct().select(
+        "log_uri", (F.row_number().over(W.orderBy("log_uri")) - 1).alias("log_rank")
+    )
+
+
 def scan_order() -> list[Column]:
     """Sort key of one log's scan, logs in URL order."""
     return [F.col("log_uri").asc(), F.col("scan_batch").asc(), F.col("log_index").asc()]
@@ -98,10 +117,14 @@ def after_date(df: DataFrame, since: str) -> DataFrame:
     return df.where(F.col("not_before") >= F.lit(since))
 
 
-def _named_certs(certs: DataFrame) -> DataFrame:
-    """Certificates with at least the placeholder name, and ``domains`` beside ``san``."""
+def with_names(certs: DataFrame) -> DataFrame:
+    """Certificates with at least the placeholder name."""
     san = F.when(F.size("san") > 0, F.col("san")).otherwise(F.array(fields.placeholder(F.col("log_index"))))
-    return certs.withColumn("san", san).withColumn("domains", F.col("san"))
+    return certs.withColumn("san", san)
+
+
+def _named_certs(certs: DataFrame) -> DataFrame:
+    return with_names(certs).withColumn("domains", F.col("san"))
 
 
 def _options(rules: list[tuple[str, str]] | None) -> Column:

@@ -8,7 +8,7 @@ from certmill.functions import framing as fr
 from certmill.functions.fields import format_utc
 from certmill.operators.loglist import contact, log_id_index
 from certmill.plans.joins import lookup_join
-from certmill.schemas import DASH, NOT_AVAILABLE
+from certmill.schemas import DASH
 
 
 def explode_scts(lists: DataFrame, blob: str = "sct_list", tag: str = "extension") -> DataFrame:
@@ -73,14 +73,21 @@ def lookup_scts(scts: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
-def log_period(start, end):
-    """Period of a log outside a lookup: a dash when neither day is known."""
-    both = (start == NOT_AVAILABLE) & (end == NOT_AVAILABLE)
-    return F.when(both, F.lit(DASH)).otherwise(F.concat(start, F.lit(" ~ "), end))
+def broken_lists(lists: DataFrame, blob: str = "sct_list") -> DataFrame:
+    """The lists that are not whole, with ``error``; their whole timestamps are still in :func:`explode_scts`."""
+    keep = [c for c in lists.columns if c != blob]
+    return lists.select(*keep, fr.sct_list_error(F.col(blob)).alias("error")).where(F.col("error").isNotNull())
 
 
-def sct_summary(looked_up: DataFrame) -> DataFrame:
-    """Per certificate: timestamps in all, matched, unknown."""
+def sct_summary(looked_up: DataFrame, certs: DataFrame | None = None) -> DataFrame:
+    """Per certificate: timestamps in all, matched, unknown.
+
+    ``certs`` has the ``cert_id`` of every certificate; those without timestamps get zeros.
+    """
+    if certs is not None:
+        counts = sct_summary(looked_up)
+        zero = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "matched", "unknown")}
+        return certs.select("cert_id").distinct().join(counts, "cert_id", "left").select("cert_id", *zero.values())
     return looked_up.groupBy("cert_id").agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if("matched").alias("matched"),

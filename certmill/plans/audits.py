@@ -17,7 +17,6 @@ from certmill.sources.dump import read_dump
 # A target's first try reads this many entries per wanted hit; each further try reads more.
 TAIL_FACTOR = 100
 TAIL_GROWTH = 16
-MAX_LOGS = 10_000
 
 
 @dataclass
@@ -63,7 +62,7 @@ def _candidates(certs: DataFrame, sizes: DataFrame, ranks: DataFrame | None, opt
         out = scan.with_options(placed, rules)
         return out.select(*_CERT_COLUMNS, "scan_batch", "ord", "options")
 
-    named = rl.expand_names(placed)
+    named = rl.expand_names(scan.with_names(placed))
     if opts.nxdomain:
         if opts.dns_obs is None:
             raise ValueError("nxdomain needs dns_obs")
@@ -75,15 +74,13 @@ def _candidates(certs: DataFrame, sizes: DataFrame, ranks: DataFrame | None, opt
     return scan.options_from_names(named, [*_CERT_COLUMNS, "scan_batch", "ord"], rules)
 
 
-def _heads(sizes: DataFrame, ranks: DataFrame | None) -> list[tuple[str, int]] | None:
-    """Logs in scan order with their sizes; None when they are too many to hold here."""
+def _heads(sizes: DataFrame, ranks: DataFrame | None) -> list[tuple[str, int]]:
+    """Logs in scan order with their sizes: one row per log of a list that is small by nature."""
     if ranks is None:
         rows = sizes.select("log_uri", "tree_size", F.lit(0).alias("log_rank"))
     else:
         rows = lookup_join(sizes, ranks, "log_uri", "inner")
-    found = rows.select("log_rank", "log_uri", "tree_size").limit(MAX_LOGS + 1).collect()
-    if len(found) > MAX_LOGS:
-        return None
+    found = rows.select("log_rank", "log_uri", "tree_size").collect()
     return [(r["log_uri"], r["tree_size"]) for r in sorted(found)]
 
 
@@ -116,30 +113,32 @@ def scan_logs(
     """Hits of a scan: every name once, each certificate at most once, in scan order up to the target.
 
     ``ranks`` orders several logs (see :func:`~certmill.operators.loglist.log_ranks`);
-    without it ``certs`` is one log. ``known`` names are not hit again.
+    without it they are read in URL order. ``known`` names are not hit again. An
+    entry that is stored twice is one entry.
 
     A scan never looks behind the hit that reaches its target, so with a
     target growing tails of the logs are tried first; the first tail with
     enough hits gives the exact answer and the rest is not read.
     """
     def hits_in(part: DataFrame) -> DataFrame:
-        able = _candidates(part, sizes, ranks, opts)
+        able = _candidates(part, sizes, ranks, opts).dropDuplicates(["ord"])
         if known is not None:
             able = jb.skip_known_options(able, known).where(F.size("options") > 0)
         return greedy.greedy_hits(able)
 
+    if ranks is None and sizes.count() > 1:
+        ranks = stored(scan.ranks_by_url(sizes), "log-ranks")
     if opts.target is None:
         return hits_in(certs)
     if opts.target < 0:
         raise ValueError("target must not be negative")
     heads = _heads(sizes, ranks)
-    if heads is not None:
-        total, entries = sum(n for _, n in heads), max(opts.batch_size, TAIL_FACTOR * opts.target)
-        while entries < total:
-            hits = stored(hits_in(_tail(certs, heads, entries, opts.batch_size)), "tail-hits")
-            if hits.count() >= opts.target:
-                return hits.orderBy("ord").limit(opts.target)
-            entries *= TAIL_GROWTH
+    total, entries = sum(n for _, n in heads), max(opts.batch_size, TAIL_FACTOR * opts.target)
+    while entries < total:
+        hits = stored(hits_in(_tail(certs, heads, entries, opts.batch_size)), "tail-hits")
+        if hits.count() >= opts.target:
+            return hits.orderBy("ord").limit(opts.target)
+        entries *= TAIL_GROWTH
     return hits_in(certs).orderBy("ord").limit(opts.target)
 
 
@@ -152,10 +151,12 @@ def scan_session(
 
 
 def resume_scan(
-    certs: DataFrame, job: DataFrame, matches: DataFrame, opts: ScanOptions
+    certs: DataFrame, job: DataFrame, matches: DataFrame, opts: ScanOptions, known: DataFrame | None = None
 ) -> DataFrame:
     """Continue one job below its checkpoint: its names excluded, its hits carried on.
 
+    ``known`` are further names that are not hit again, such as those of the job's session.
+
     ``job`` is the job's row; batches go on from ``next_end_index``.
     """
     row = job.select("id", "log_uri", "next_end_index", "target_count", "matched_count").first()
@@ -170,7 +171,8 @@ def resume_scan(
     )
     left = None if opts.target is None else max(0, row["target_count"] - row["matched_count"])
     again = ScanOptions(**{**opts.__dict__, "target": left})
-    hits = scan_logs(rest, sizes, again, known=jb.job_known(matches, row["id"]))
+    own = jb.job_known(matches, row["id"])
+    hits = scan_logs(rest, sizes, again, known=own if known is None else own.unionByName(known.select(*own.columns)))
     return hits.withColumn("job_id", F.lit(row["id"]).cast("bigint"))
 
 

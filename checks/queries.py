@@ -925,7 +925,8 @@ def flagship(x: Fixtures) -> DataFrame:
 
 @query("parse_limit", _PARSED_SQL + " ORDER BY index LIMIT 500")
 def _(x):
-    return sk.parsed_csv_frame(en.parse_limit(_parsed(x), 500))
+    decoded = en.decode_entries(dump.read_dump(x.spark, _dump_path(x)))
+    return sk.parsed_csv_frame(en.parsed_first(decoded, x.cert_fields(), 500))
 
 
 # --- 2.8 stateful and incremental ------------------------------------------------------------

@@ -48,9 +48,10 @@ def test_parsed_rows(spark, dump_file, tmp_path):
         "issuer_cn string, issuer_org string, subject_cn string, subject_org string, not_before string, not_after string, san array<string>, der binary",
     ).withColumn("fingerprint", F.sha2("der", 256))
     parsed = pl.parse_dump(spark, dump_file, fields)
-    row = parsed.collect()
-    assert len(row) == 1
-    row = row[0]
+    rows = {r["index"]: r for r in parsed.collect()}
+    # The entry whose certificate has no fields keeps its row.
+    assert len(rows) == 2 and sorted(r["fields_known"] for r in rows.values()) == [False, True]
+    row = rows[7]
     assert (row["index"], row["timestamp_ms"], row["timestamp_utc"]) == (7, 1720000000000, "2024-07-03T09:46:40+00:00")
     assert (row["domain"], base64.b64decode(row["cert_der_b64"])) == ("x.com", b"\x30\x03\xaa\xbb\xcc")
     sk.write_parsed_csv(parsed, str(tmp_path / "csv"))
@@ -58,8 +59,9 @@ def test_parsed_rows(spark, dump_file, tmp_path):
     assert text.splitlines()[0] == ",".join(PARSED_COLUMNS)
     assert "x.com;y.com" in text
     sk.write_parsed_jsonl(parsed, str(tmp_path / "jsonl"))
-    obj = json.loads("".join(p.read_text() for p in (tmp_path / "jsonl").glob("part-*")))
-    assert obj["san"] == ["x.com", "y.com"] and list(obj) == PARSED_COLUMNS
+    lines = "".join(p.read_text() for p in (tmp_path / "jsonl").glob("part-*")).splitlines()
+    objs = {o["index"]: o for o in map(json.loads, lines)}
+    assert objs[7]["san"] == ["x.com", "y.com"] and list(objs[7]) == PARSED_COLUMNS and len(objs) == 2
     assert en.parse_limit(parsed, 0).count() == 0
 
 
@@ -73,9 +75,9 @@ def test_dump_round_trip(spark, dump_file, tmp_path):
 def test_certificate_files(spark, tmp_path):
     folder = str(tmp_path / "certs")
     hits = spark.createDataFrame([(42, b"\x30\x03abc"), (43, None), (44, b"zz")], "log_index bigint, der binary")
-    assert tuple(sk.outcome_counts(sk.write_cert_files(hits.where("log_index < 44"), folder)).first()) == (1, 0, 1)
+    assert tuple(sk.outcome_counts(sk.write_cert_files(hits.where("log_index < 44"), folder)).first()) == (1, 0, 1, 0)
     before = os.stat(f"{folder}/42.pem").st_mtime_ns
-    assert tuple(sk.outcome_counts(sk.write_cert_files(hits, folder)).first()) == (1, 1, 1)
+    assert tuple(sk.outcome_counts(sk.write_cert_files(hits, folder)).first()) == (1, 1, 1, 0)
     assert os.stat(f"{folder}/42.pem").st_mtime_ns == before
     assert sorted(p for p in os.listdir(folder) if not p.startswith(".")) == ["42.pem", "44.pem"]
     got = {os.path.basename(r["path"]): bytes(r["der"]) for r in read_cert_files(spark, folder, "*.pem").collect()}
@@ -90,7 +92,7 @@ def test_backfill_takes_bytes_from_the_entries(spark, dump_file, tmp_path):
     matches = spark.createDataFrame([(1, 5, 7, "a"), (2, 5, 7, "b"), (3, 5, 9, "c"), (4, 5, 100, "d")], "id bigint, job_id bigint, log_index bigint, domain string")
     rows = sk.backfill_rows(jb.job_log_indices(matches, 5), en.decode_entries(read_dump(spark, dump_file)))
     counts = sk.outcome_counts(sk.write_cert_files(rows, str(tmp_path / "pem"))).first()
-    assert tuple(counts) == (1, 0, 2)
+    assert tuple(counts) == (1, 0, 2, 0)
 
 
 def test_match_export_file(spark, tmp_path):

@@ -19,7 +19,9 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -39,9 +41,10 @@ WITH RECURSIVE step AS (
   (WITH now AS (
      SELECT k, w, p, t, lead(p) OVER (PARTITION BY w ORDER BY p) AS next_p, lead(t) OVER (PARTITION BY w ORDER BY p) AS next_t
      FROM step),
-   pairs AS (SELECT n.w, n.p, n.next_p, m.merged FROM now n JOIN merges m ON m.a = n.t AND m.b = n.next_t),
-   least AS (SELECT w, min(merged::BIGINT * 65536 + p) AS at FROM pairs GROUP BY w),
-   pick AS (SELECT x.w, x.p, x.next_p, x.merged FROM pairs x JOIN least l ON x.w = l.w AND x.merged::BIGINT * 65536 + x.p = l.at)
+   least AS (
+     SELECT n.w, min((m.merged::BIGINT << 32) + (n.p << 16) + n.next_p) AS best
+     FROM now n JOIN merges m ON m.a = n.t AND m.b = n.next_t GROUP BY n.w),
+   pick AS (SELECT w, (best >> 16) & 65535 AS p, best & 65535 AS next_p, (best >> 32)::INT AS merged FROM least)
    SELECT n.k + 1, n.w, n.p, CASE WHEN n.p = x.p THEN x.merged ELSE n.t END
    FROM now n JOIN pick x ON x.w = n.w WHERE n.p <> x.next_p)
 ), last AS (SELECT w, max(k) AS k FROM step GROUP BY w)
@@ -80,6 +83,7 @@ class Coder:
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        self.byte_ids = np.array([self.ranks[bytes([c])] for c in range(256)], np.int32)
         self.narrow, self.wide = _splitters(pattern)
         # Two generations: when the younger is full it becomes the older, and words in use move back.
         self.words: dict[str, tuple[int, str, bytes]] = {}
@@ -99,13 +103,16 @@ class Coder:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM _incoming")
         self.db.unregister("_incoming")
 
-    def _fill(self, name: str, columns: dict[str, list[int]]) -> None:
+    def _fill(self, name: str, columns: dict[str, list[int] | np.ndarray]) -> None:
         self._copy(name, pa.table({k: pa.array(v, pa.int32()) for k, v in columns.items()}))
 
-    def _rows(self, lists: list) -> None:
-        """Lists of tokens as (word, position, token) rows of the table ``source``."""
+    def _rows(self, sizes: np.ndarray, tokens: np.ndarray) -> None:
+        """The tokens of successive lists as (word, position, token) rows of the table ``source``."""
+        first = np.cumsum(sizes) - sizes
         self._fill("source", {
-            "w": [i for i, x in enumerate(lists) for _ in x], "p": [p for x in lists for p in range(len(x))], "t": [t for x in lists for t in x],
+            "w": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes),
+            "p": (np.arange(len(tokens)) - np.repeat(first, sizes)).astype(np.int32),
+            "t": tokens,
         })
 
     def split(self, text: str) -> list[str]:
@@ -127,7 +134,8 @@ class Coder:
                     chunk.append(i)
                     squares += len(words[i]) ** 2
             if chunk:
-                self._rows([[self.ranks[bytes([c])] for c in words[i]] for i in chunk])
+                sizes = np.fromiter((len(words[i]) for i in chunk), np.int64, len(chunk))
+                self._rows(sizes, self.byte_ids[np.frombuffer(b"".join([words[i] for i in chunk]), np.uint8)])
                 for w, got in self.db.execute(ENCODE).fetchall():
                     ids[chunk[w]] = got
         return ids
@@ -162,7 +170,8 @@ class Coder:
     def decode_lists(self, lists: list[list[int]]) -> list[bytes]:
         """Bytes of each list of ids; an id without a token gives none."""
         out = [b""] * len(lists)
-        self._rows(lists)
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self._rows(sizes, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())))
         for w, text in self.db.execute(DECODE).fetchall():
             out[w] = bytes.fromhex(text or "")
         return out

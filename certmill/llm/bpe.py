@@ -178,10 +178,11 @@ class Coder:
 
     def learn(self, split: list[list[str]]) -> None:
         """Encode and decode the words that are not in the cache."""
-        missing = {w for words in split for w in words if w not in self.words}
+        every = set().union(*split)
+        missing = every.difference(self.words)
         if len(self.words) + len(missing) > CACHE_ROWS:
             self.older, self.words = self.words, {}
-            missing = {w for words in split for w in words}
+            missing = every
         for w in [w for w in missing if w in self.older]:
             self.words[w] = self.older[w]
             missing.discard(w)

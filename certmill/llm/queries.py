@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from certmill.llm import bpe, exact_dedup, jaccard_join, language, packing, pii, quality, secret_scan, token_counts, topk
+from certmill.llm import (
+    bpe, exact_dedup, jaccard_join, language, lexical, mixing, packing, periodic_runs, pii, quality, secret_scan,
+    token_counts, topk,
+)
 
 OVER_LIMIT = 4096
 
@@ -75,10 +78,48 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(vectors, vectors.filter(F.col("vec_id") % 20 == 0), 20)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+def repeating(doc_id: Column, text: Column) -> Column:
+    """The text, in which every tenth document goes on by repeating a part of its own words."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def again(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        word = lambda x, i: F.when(i >= a, F.get(words, (a + (i - a) % p).cast("int"))).otherwise(x)
+        return F.when(n > 0, F.array_join(F.transform(words, word), " ")).otherwise("")
+
+    # The words are bound once, not found again for each word.
+    found = F.array(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]++"), F.lit(0)))
+    return F.when((h % 10 == 0) & text.isNotNull(), F.get(F.transform(found, again), F.lit(0))).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", repeating(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs.periodic_runs(docs, keep=["doc_id"])
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    order = lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))
+    most = F.array_min(F.transform("runs", order))
+    return found.select(
+        "doc.doc_id", F.size("runs").cast("long").alias("n_runs"), most["s"].alias("start"), (-most["l"]).alias("length"),
+        most["p"].alias("period"), F.floor(1000 * -most["l"] / most["p"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_byte_bpe, op3_pii, op4_token_counts, op5_quality, op6_language, op7_secrets,
-        op8_jaccard_join, op9_packing, op10_exact_topk,
+        op8_jaccard_join, op9_packing, op10_exact_topk, op11_mixing, op12_lexical_search, op13_periodic_runs,
     )
 }

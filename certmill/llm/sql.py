@@ -137,10 +137,66 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM scored QUALIFY rank <= 20
 """
 
+OP12 = r"""
+WITH words AS MATERIALIZED (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+tf AS MATERIALIZED (SELECT doc_id, t, count(*) AS tf FROM words GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+n AS MATERIALIZED (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+total AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS l FROM n),
+m AS (SELECT doc_id, 100 - 75 + ((75 * n * big_n) // l) AS m FROM n, total),
+asked AS MATERIALIZED (
+  SELECT item_id, t, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY ALL),
+w AS (SELECT item_id, t, times * floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM asked JOIN df USING (t), total),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM w JOIN tf USING (t) JOIN m USING (doc_id) GROUP BY ALL HAVING score > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
+# A run has at least six places at which a word equals the one a period later.
+OP13 = r"""
+WITH crc AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], flatten([[ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0] for c in string_split(doc_id::VARCHAR, '')])),
+    lambda s, b: xor(xor(s, b) >> 1, (xor(s, b) & 1) * 3988292384))) AS h FROM documents),
+shape AS (SELECT doc_id, w, len(w) AS n, h, (h // 10) % greatest(len(w), 1) AS a, h // 10 AS g FROM crc),
+docs AS MATERIALIZED (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_concat(w[1 : a], [w[a + 1 + (i % (1 + (n - a) // (3 + g % 8)))] for i in range(n - a)]) ELSE w END AS w FROM shape),
+words AS MATERIALIZED (SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS t FROM docs),
+grams AS MATERIALIZED (SELECT doc_id, i, hash(t, lead(t, 1) OVER p, lead(t, 2) OVER p, lead(t, 3) OVER p, lead(t, 4) OVER p, lead(t, 5) OVER p) AS g,
+    lead(t, 5) OVER p AS last
+  FROM words WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+pairs AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM grams a JOIN grams b ON a.doc_id = b.doc_id AND a.g = b.g AND a.i < b.i
+  WHERE a.last IS NOT NULL AND b.last IS NOT NULL),
+stretches AS (
+  SELECT doc_id, q, min(i) AS start, max(i) - min(i) + 6 + q AS length FROM (
+    SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS part FROM pairs) GROUP BY doc_id, q, part),
+runs AS MATERIALIZED (
+  SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(12, 2 * q) GROUP BY doc_id, start, length),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, arg_min(start, (-length, start, period)) AS start, max(length) AS length,
+    arg_min(period, (-length, start, period)) AS period,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+  (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM docs d LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 SQL = {
     "op1_exact_dedup": OP1,
     "op3_pii": OP3,
     "op7_secrets": OP7,
     "op8_jaccard_join": OP8,
     "op10_exact_topk": OP10,
+    "op12_lexical_search": OP12,
+    "op13_periodic_runs": OP13,
 }

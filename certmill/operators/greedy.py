@@ -1,94 +1,154 @@
 """Exact scan assignment: every certificate takes its first passing name that no earlier one holds.
 
-Walking certificates one by one cannot be spread over a cluster, so the same
-result is reached by rounds of proposals. In a round every unsettled
-certificate proposes its next name; each name keeps the earliest certificate
-that ever proposed to it, and the others move on to their next name. The
-result equals the walk: all names prefer the same order of certificates, so
-the only stable outcome is the one in which the earliest chooses first.
-
-Cost per round. Proposals are reduced to one row per name before the shuffle,
-which makes a name wanted by a third of all certificates cheap. The refused are
-found by an anti join on ``ord``, which is unique, never by a join on the name.
-A holder only ever gives way to an earlier certificate, so holders are an
-append-only table; a round touches the names proposed in it and rewrites nothing.
-Rounds are written as Parquet tables to the shared checkpoint folder: plans stay
-short, lost executors recompute at most one round, and the exact file sizes let
-Spark pick broadcast joins once few certificates are left.
+Walking certificates one by one cannot be spread over a cluster. But a walk over
+any part of them, in scan order, never puts a certificate behind its place in the
+whole walk: the others can only take more names. So each task walks its part first,
+and what is left are names that certificates of several parts took. Those are settled in
+rounds: of all that took a name the earliest keeps it, the others go on to their next
+name, and so does a holder that an earlier certificate displaces. When no name has
+two takers, the places are those of the whole walk.
+
+Cost. Certificates meet those that want the same first name, so the walks settle most
+of them, equal lists at once and however many; a name that a third of all want is one bid
+for each part. After that a round reads only what moves: the movers carry
+the names that they have left, and holders lie in buckets by name, with the names they have left
+too, of which those are opened that movers ask for. A holder only ever gives way to
+an earlier one, so holders are an append-only table and a round rewrites nothing.
+Each round is one job and one table in the shared checkpoint folder: plans stay short and
+lost executors recompute at most one round. The number of rounds is the longest chain of
+displacements between parts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, functions as F
-from pyspark.sql.types import StructType
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, Window as W, functions as F
 
 from certmill.session import new_table_path, stored
 
+# Certificates of one walk, and names it holds at most: what a task's memory allows.
+WALK_CERTS = 500_000
+# What one bitmap holds.
+MAX_BUCKETS = 32_768
 
-def assign(options: DataFrame) -> DataFrame:
-    """``name``, ``ord``, ``step``: the option each certificate ends with; losers have no row.
+_BIDS = "name string, ord bigint, step int, rest array<string>"
 
-    ``options`` has one row per certificate: ``ord`` (unique, the scan order)
-    and ``names`` (its passing names, most wanted first; repeats are harmless).
-    It is read in every round and should be a stored table.
-    """
-    spark = options.sparkSession
-    base = new_table_path(spark, "assign")
-
-    def read(schema: StructType, *paths: str) -> DataFrame:
-        # With its schema given, opening a round's table needs no job.
-        return spark.read.schema(schema).parquet(*paths)
-
-    moving = options.where(F.size("names") > 0).select("ord", F.lit(0).alias("step"), "names")
-    held: list[str] = []
-    while True:
-        fresh = moving.select(
-            F.get("names", F.col("step")).alias("name"), "ord", "step", F.lit(True).alias("fresh")
-        )
-        bids = fresh
-        if held:
-            # One row per name and round at most, so no name is hot among the owners.
-            wanted = fresh.select("name").distinct()
-            owners = _owners(read(log, *held).join(wanted, "name", "left_semi"))
-            bids = fresh.unionByName(owners.withColumn("fresh", F.lit(False)))
-        won = f"{base}/won-{len(held)}"
-        owned = F.when(~F.col("fresh"), F.struct("ord", "step"))
-        best = (
-            bids.groupBy("name")
-            .agg(F.min("ord").alias("ord"), F.min_by("step", "ord").alias("step"),
-                 F.min_by("fresh", "ord").alias("fresh"),
-                 F.max(owned["ord"]).alias("old_ord"), F.max(owned["step"]).alias("old_step"))
-            .where("fresh").drop("fresh")
+
+def _walk(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (ord, names) in scan order to the first name that no earlier row of the walk took."""
+    taken: set[str] = set()
+    for batch in batches:
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        for ord_, names in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for step, name in enumerate(names):
+                if name not in taken:
+                    taken.add(name)
+                    for column, value in zip(out, (name, ord_, step, names[step + 1 :]), strict=True):
+                        column.append(value)
+                    break
+            if len(taken) >= most:
+                taken = set()
+        types = (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["name", "ord", "step", "rest"]
         )
-        best.write.parquet(won)
-        log = best.schema
-        winners = read(log, won)
-        refused = moving.join(winners.select("ord"), "ord", "left_anti")
-        if held:
-            # Owners whose names changed hands in this round move on as well.
-            displaced = winners.where(F.col("old_ord").isNotNull()).select(
-                F.col("old_ord").alias("ord"), F.col("old_step").alias("step")
+
+
+def walked(options: DataFrame, most: int = WALK_CERTS) -> DataFrame:
+    """``name, ord, step, rest``: where walks over parts of ``options`` put its certificates.
+
+    Parts are ranges of the first name, within one name of the scan order, of about
+    ``most`` certificates. A walk that runs longer forgets its names and starts anew.
+    """
+    wanted = options.where(F.size("names") > 0).select("ord", "names")
+    count = -(-wanted.count() // most) or 1
+    parts = wanted.repartitionByRange(count, F.get("names", F.lit(0)), "ord").sortWithinPartitions("ord")
+    return parts.mapInArrow(lambda batches: _walk(batches, most), _BIDS)
+
+
+class Assignment:
+    """Rounds of bids; :attr:`moved` and :attr:`opened` tell what each round moved and which buckets it read."""
+
+    def __init__(self, options: DataFrame, walk_certs: int = WALK_CERTS):
+        self.spark = options.sparkSession
+        self.base = new_table_path(self.spark, "assign")
+        self.buckets = min(MAX_BUCKETS, max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
+        self.moved: list[int] = []
+        self.opened: list[int] = []
+        movers = walked(options, walk_certs)
+        while True:
+            wanted = self._round(movers)
+            if not wanted:
+                return
+            movers = self._read([self._path()], "lost").select("name", "ord", "step", "rest")
+            self.opened.append(len(wanted))
+            # A mover's new name is held by none, or by a row of one of these buckets.
+            self.held = self._read([self._path(i) for i in range(len(self.moved))], "won").where(
+                F.col("bucket").isin(wanted)
             )
-            refused = refused.unionByName(displaced.join(options, "ord").select("ord", "step", "names"))
-        seen = Observation()
-        path = f"{base}/moving-{len(held) + 1}"
-        (
-            refused.withColumn("step", F.col("step") + 1)
-            .where(F.col("step") < F.size("names"))
-            .observe(seen, F.count(F.lit(1)).alias("n"))
-            .write.parquet(path)
+
+    held: DataFrame | None = None
+
+    def _path(self, number: int | None = None) -> str:
+        return f"{self.base}/round={len(self.moved) - 1 if number is None else number}"
+
+    def _read(self, paths: list[str], part: str) -> DataFrame:
+        # With its schema given, opening a table needs no job; a round may leave no row of a part.
+        rows = self.spark.read.schema(f"{_BIDS}, round int, part string, bucket int").option("basePath", self.base).parquet(*paths)
+        return rows.where(F.col("part") == part)
+
+    def _bucket(self):
+        # The partition to which a shuffle by name sends the row, so a task writes few files.
+        return F.pmod(F.hash("name"), F.lit(self.buckets)).cast("int")
+
+    def _round(self, movers: DataFrame) -> list[int]:
+        """Settle the movers' names; the buckets of the names that the losers take next."""
+        bids = movers.withColumn("fresh", F.lit(True))
+        if self.held is not None:
+            asked = movers.select("name").distinct()
+            owners = self.held.select("name", "ord", "step", "rest").join(asked, "name", "left_semi")
+            bids = bids.unionByName(owners.withColumn("fresh", F.lit(False)))
+        by_name = W.partitionBy("name").orderBy("ord")
+        everyone = by_name.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        judged = bids.select(
+            "*", F.row_number().over(by_name).alias("place"),
+            F.min(F.when(~F.col("fresh"), F.col("ord"))).over(everyone).alias("owner"),
         )
-        held.append(won)
-        if seen.get["n"] == 0:
-            return _owners(read(log, *held))
-        moving = read(moving.schema, path)
+        # Earlier owners of a name have moved on long ago.
+        first, present = F.col("place") == 1, F.col("fresh") | (F.col("ord") == F.col("owner"))
+        judged = judged.where((first & F.col("fresh")) | (~first & present & (F.size("rest") > 0)))
+        after = judged.select(
+            F.when(first, F.col("name")).otherwise(F.get("rest", F.lit(0))).alias("name"), "ord",
+            F.when(first, F.col("step")).otherwise(F.col("step") + 1).alias("step"),
+            F.when(first, F.col("rest")).otherwise(F.slice("rest", F.lit(2), F.greatest(F.size("rest"), F.lit(1)))).alias("rest"),
+            F.when(first, "won").otherwise("lost").alias("part"),
+        ).withColumn("bucket", self._bucket())
+        seen, lost = Observation(), F.col("part") == "lost"
+        bit = F.when(lost, F.col("bucket").cast("bigint"))
+        after = after.observe(seen, F.count_if(lost).alias("n"), F.bitmap_construct_agg(bit).alias("bits"))
+        self.moved.append(0)
+        after.write.partitionBy("part", "bucket").parquet(self._path())
+        self.moved[-1] = seen.get["n"]
+        if not seen.get["n"]:
+            return []
+        return [i * 8 + j for i, byte in enumerate(bytes(seen.get["bits"])) if byte for j in range(8) if byte >> j & 1]
 
+    def owners(self) -> DataFrame:
+        """``name, ord, step``: the earliest that ever won each name."""
+        log = self._read([self._path(i) for i in range(len(self.moved))], "won")
+        return log.groupBy("name").agg(F.min("ord").alias("ord"), F.min_by("step", "ord").alias("step"))
 
-def _owners(log: DataFrame) -> DataFrame:
-    """The present owner of every name: the earliest that ever won it."""
-    return log.groupBy("name").agg(
-        F.min("ord").alias("ord"), F.min_by("step", "ord").alias("step")
-    )
+
+def assign(options: DataFrame) -> DataFrame:
+    """``name``, ``ord``, ``step``: the option each certificate ends with; losers have no row.
+
+    ``options`` has one row per certificate: ``ord`` (unique, the scan order)
+    and ``names`` (its passing names, most wanted first; repeats are harmless).
+    It is read three times and should be a stored table.
+    """
+    return Assignment(options).owners()
 
 
 def greedy_hits(certs: DataFrame) -> DataFrame:

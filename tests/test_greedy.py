@@ -60,6 +60,44 @@ def test_special_cases(spark, data):
     assert got == walk(data)
 
 
+def bare(spark, data):
+    return spark.createDataFrame(data, "ord bigint, names array<string>")
+
+
+def places(assignment):
+    return sorted((r["ord"], r["name"]) for r in assignment.owners().collect())
+
+
+@pytest.mark.parametrize("seed, certs, names, part", [(6, 200, 50, 7), (7, 300, 900, 1), (8, 120, 30, 20)])
+def test_walks_over_parts_equal_the_walk(spark, seed, certs, names, part):
+    data = random_certs(seed, certs, names)
+    found = greedy.Assignment(bare(spark, data), walk_certs=part)
+    assert places(found) == walk(data)
+    # Ever fewer move, the last round none.
+    assert len(found.moved) > 2 and found.moved[-1] == 0
+
+
+def test_equal_lists_need_one_round(spark):
+    data = [(i, [f"n{k}" for k in range(60)]) for i in range(400)]
+    found = greedy.Assignment(bare(spark, data))
+    assert found.moved == [0] and places(found) == [(i, f"n{i}") for i in range(60)]
+    # Equal lists in several parts: what is left is the wish of one part for names of another.
+    parts = greedy.Assignment(bare(spark, data), walk_certs=100)
+    assert places(parts) == places(found)
+
+
+def test_a_round_reads_the_buckets_of_its_movers(spark):
+    # One chain of displacements among many certificates that never move.
+    data = [(1000 + i, [f"own{i}"]) for i in range(500)]
+    data += [(i, [f"c{i:02}", f"c{i + 1:02}"]) for i in range(12)] + [(-1, ["zz", "c00"]), (-2, ["zz"])]
+    found = greedy.Assignment(bare(spark, data), walk_certs=1)
+    assert places(found) == walk(data)
+    assert max(found.moved) <= 14 and len(found.moved) > 10
+    assert found.opened and all(n <= m for n, m in zip(found.opened, found.moved, strict=False))
+    plan = found.held._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters", 1)[1].split("PushedFilters")[0]
+
+
 def sizes(certs):
     return certs.groupBy("log_uri").agg((F.max("log_index") + 1).alias("tree_size"))
 

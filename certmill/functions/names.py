@@ -24,8 +24,13 @@ def strip_wildcard(name: Column) -> Column:
 
 def canonical_host(name: Column) -> Column:
     """Trimmed, without wildcard labels, lower case, no trailing dots."""
-    bare = strip_wildcard(strip_wildcard(trimmed(name)))
-    return F.rtrim(F.lower(bare), F.lit("."))
+    return canonical_of(trimmed(name))
+
+
+def canonical_of(raw: Column) -> Column:
+    """The canonical form of a trimmed name, without up to two wildcard labels."""
+    first = F.when(F.startswith(raw, F.lit("*.*.")), 5).when(F.startswith(raw, F.lit("*.")), 3).otherwise(1)
+    return F.rtrim(F.lower(F.substring(raw, first, F.lit(2147483647))), F.lit("."))
 
 
 def _is_ip(host: Column) -> Column:
@@ -47,8 +52,11 @@ def _is_ip(host: Column) -> Column:
 
 def name_kind(name: Column) -> Column:
     """``invalid``, ``ip`` or ``dns_name``."""
-    raw = trimmed(name)
-    host = canonical_host(name)
+    return kind_of(trimmed(name), canonical_host(name))
+
+
+def kind_of(raw: Column, host: Column) -> Column:
+    """The kind of a name that is trimmed as ``raw`` and canonical as ``host``."""
     return (
         F.when((raw == "") | F.startswith(raw, F.lit("__cert:")), F.lit("invalid"))
         .when(~F.contains(host, F.lit(".")), F.lit("invalid"))

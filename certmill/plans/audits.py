@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -84,7 +85,7 @@ def _heads(sizes: DataFrame, ranks: DataFrame | None) -> list[tuple[str, int]]:
     return [(r["log_uri"], r["tree_size"]) for r in sorted(found)]
 
 
-def _tail(certs: DataFrame, heads: list[tuple[str, int]], entries: int, batch_size: int) -> DataFrame:
+def scan_tail(certs: DataFrame, heads: list[tuple[str, int]], entries: int, batch_size: int) -> DataFrame:
     """The certificates that a scan reads within its first ``entries`` entries, in whole batches.
 
     Plain bounds on ``log_uri`` and ``log_index``, which reach the table's
@@ -130,16 +131,47 @@ def scan_logs(
         ranks = stored(scan.ranks_by_url(sizes), "log-ranks")
     if opts.target is None:
         return hits_in(certs)
-    if opts.target < 0:
+    return _from_tails(certs, _heads(sizes, ranks), opts.batch_size, opts.target, ["ord"], hits_in)
+
+
+def _from_tails(
+    certs: DataFrame, heads: list[tuple[str, int]], batch_size: int, target: int, order: list,
+    hits_in: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """The first ``target`` hits of a scan, from the shortest of growing tails that holds as many.
+
+    Entries outside a tail come after all of it in scan order, so no row that was not
+    read can precede a hit of the tail.
+    """
+    if target < 0:
         raise ValueError("target must not be negative")
-    heads = _heads(sizes, ranks)
-    total, entries = sum(n for _, n in heads), max(opts.batch_size, TAIL_FACTOR * opts.target)
+    total, entries = sum(n for _, n in heads), max(batch_size, TAIL_FACTOR * target)
     while entries < total:
-        hits = stored(hits_in(_tail(certs, heads, entries, opts.batch_size)), "tail-hits")
-        if hits.count() >= opts.target:
-            return hits.orderBy("ord").limit(opts.target)
+        hits = stored(hits_in(scan_tail(certs, heads, entries, batch_size)), "tail-hits")
+        if hits.count() >= target:
+            return hits.orderBy(*order).limit(target)
         entries *= TAIL_GROWTH
-    return hits_in(certs).orderBy("ord").limit(opts.target)
+    return hits_in(certs).orderBy(*order).limit(target)
+
+
+def first_hits(certs: DataFrame, sizes: DataFrame, opts: ScanOptions) -> DataFrame:
+    """The first ``opts.target`` certificates of a scan with a passing name, each with its first one.
+
+    Names may repeat among hits. Logs are read in URL order, each from its tail; ``sizes``
+    (``log_uri, tree_size``) are the heads. Only tails of the logs are read (see :func:`scan_tail`)
+    until one holds enough hits; certificates are not read to find the heads.
+    """
+    register_functions(certs.sparkSession)
+    rules = rl.combine(opts.query, opts.rules)
+    heads = _heads(sizes, stored(scan.ranks_by_url(sizes), "log-ranks"))
+
+    def hits_in(part: DataFrame) -> DataFrame:
+        part = scan.after_date(part, opts.after) if opts.after else part
+        return scan.with_scan_position(scan.first_match(part, rules), sizes, opts.batch_size)
+
+    if opts.target is None:
+        return hits_in(certs)
+    return _from_tails(certs, heads, opts.batch_size, opts.target, scan.scan_order(), hits_in)
 
 
 def scan_session(

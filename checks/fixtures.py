@@ -74,6 +74,12 @@ class Fixtures:
     def certs(self) -> DataFrame:
         return ct.standard_certs(self.raw_certs(), AS_OF)
 
+    def tree_heads(self) -> DataFrame:
+        """``log_uri`` and ``tree_size`` of each log, as its head tells them; no certificate is read."""
+        return self.table("orders").selectExpr(
+            "concat('https://log', o_orderkey % 4, '.example/') AS log_uri", "o_orderkey div 4 AS log_index"
+        ).groupBy("log_uri").agg((F.max("log_index") + 1).alias("tree_size"))
+
     # --- log entries -------------------------------------------------------------------
 
     def entries(self) -> DataFrame:

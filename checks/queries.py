@@ -13,8 +13,8 @@ from certmill.operators import (
     certs as ct, dnsobs, entries as en, jobs as jb, loglist as ll, psl, roots as rt,
     rules as rl, scan, scts as sc,
 )
-from certmill.plans import audits as pl
-from certmill.session import new_table_path
+from certmill.plans import audits as pl, state as ss
+from certmill.session import new_table_path, stored
 from certmill.sinks import files as sk
 from certmill.sources import certfiles, dump, loglist as sll, psl as spsl, roots as srt, rules as srl
 from certmill.streaming import scan as st
@@ -916,11 +916,9 @@ def _(x):
 
 def flagship(x: Fixtures) -> DataFrame:
     """Scan for a predicate with a target: first passing name per certificate, in scan order."""
-    register_functions(x.spark)
-    certs = x.certs()
-    hits = scan.first_match(certs, [("query", _SLICE)])
-    placed = scan.with_scan_position(hits, scan.tree_sizes(certs), BATCH)
-    return scan.target_limit(placed, 100).select("log_uri", "log_index", "domain", "scan_batch")
+    opts = pl.ScanOptions(query=_SLICE, batch_size=BATCH, target=100)
+    heads = stored(x.tree_heads(), "heads")
+    return pl.first_hits(x.certs(), heads, opts).select("log_uri", "log_index", "domain", "scan_batch")
 
 
 @query("parse_limit", _PARSED_SQL + " ORDER BY index LIMIT 500")
@@ -963,7 +961,7 @@ SELECT p.log_uri, p.log_index, f.name AS clean FROM final_ f JOIN (
   SELECT *, dense_rank() OVER (ORDER BY log_uri) * 1000000000 + scan_pos AS ord FROM placed) p USING (ord)""")
 def _(x):
     certs = x.certs()
-    sizes = scan.tree_sizes(certs)
+    sizes = stored(x.tree_heads(), "heads")
     ranks = sizes.select("log_uri", F.regexp_extract("log_uri", "//log([0-9]+)", 1).cast("bigint").alias("log_rank"))
     opts = pl.ScanOptions(batch_size=BATCH, target=None)
     return pl.scan_logs(certs, sizes, opts, ranks=ranks).select("log_uri", "log_index", "clean")
@@ -983,11 +981,37 @@ ORDER BY ord LIMIT 300""")
 def _(x):
     certs = x.certs()
     opts = pl.ScanOptions(query=_SLICE, batch_size=BATCH, target=300)
-    return pl.scan_session(certs, scan.tree_sizes(certs), ll.url_present(x.ct_logs()), opts).select(
+    return pl.scan_session(certs, stored(x.tree_heads(), "heads"), ll.url_present(x.ct_logs()), opts).select(
         "log_uri", "log_index", "clean"
     )
 
 
+@query("session_state", with_("clean", "placed", "logs", recursive=True) + _assign_sql(f"""
+SELECT ord, clean AS name, min(pos) AS step FROM (
+  SELECT c.clean, c.pos, r.log_rank * 1000000000 + p.scan_pos AS ord FROM clean c JOIN placed p USING (log_uri, log_index)
+  JOIN {_SESSION_RANK} r USING (log_uri) WHERE c.issuer_org = 'BUILDING' AND c.domain LIKE '%.com') GROUP BY ALL""") + f"""
+SELECT row_number() OVER (ORDER BY f.ord) AS id, p.log_uri, p.log_index, f.name AS clean FROM final_ f JOIN (
+  SELECT p.*, r.log_rank * 1000000000 + p.scan_pos AS ord FROM placed p JOIN {_SESSION_RANK} r USING (log_uri)) p USING (ord)
+ORDER BY id LIMIT 500""")
+def _(x):
+    store = ss.StateStore.create(x.spark, new_table_path(x.spark, "session-state"))
+    state = store.load()
+    sessions = jb.start_session(state.sessions, "2026-01-01", "2026-06-30", 500, _SLICE, False, NOW)
+    store.commit(state, "start", sessions, state.jobs, state.matches.limit(0))
+    # A third of the first log, then the rest: each step finds the state that the one before committed.
+    certs, heads = x.certs(), stored(x.tree_heads(), "heads")
+    step = heads.agg(F.max("tree_size")).first()[0] // 3 + 1
+    opts = pl.ScanOptions(query=_SLICE, batch_size=BATCH)
+    logs = ll.url_present(x.ct_logs())
+    if not ss.advance_session(store, 1, certs, heads, logs, opts, NOW, entries=step):
+        ss.advance_session(store, 1, certs, heads, logs, opts, NOW)
+    state = store.load()
+    logs_of = state.jobs.select(F.col("id").alias("job_id"), "log_uri")
+    return state.matches.join(F.broadcast(logs_of), "job_id").select(  # one job for each of the session's logs
+        "id", "log_uri", "log_index", nm.strip_wildcard(F.col("domain")).alias("clean")
+    )
+
+
 @query("resume_scan", with_("clean", "jobs", "matches", recursive=True) + """
 , job AS (SELECT * FROM jobs WHERE status = 'running' ORDER BY id DESC LIMIT 1),
 known AS (SELECT CASE WHEN domain LIKE '*.%' THEN substr(domain, 3) ELSE domain END AS name

@@ -210,10 +210,40 @@ def test_tail_reaches_the_scan(spark, make_certs, tmp_path):
         make_certs([[f"n{i}"] for i in range(20)], log_uri=uri).write.mode("append").partitionBy("log_uri").parquet(str(tmp_path / "certs"))
     certs = spark.read.parquet(str(tmp_path / "certs"))
     heads = [("https://a/", 20), ("https://b/", 20), ("https://c/", 20)]
-    one = pl._tail(certs, heads, 7, 5)
+    one = pl.scan_tail(certs, heads, 7, 5)
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(log_index,10)" in plan and "PartitionFilters: [isnotnull(log_uri" in plan
     assert sorted((r["log_uri"], r["log_index"]) for r in one.collect()) == [("https://a/", i) for i in range(10, 20)]
-    two = pl._tail(certs, heads, 23, 5)
+    two = pl.scan_tail(certs, heads, 23, 5)
     assert two.groupBy("log_uri").count().count() == 2 and two.count() == 25
-    assert pl._tail(certs, heads, 60, 5).count() == 60
+    assert pl.scan_tail(certs, heads, 60, 5).count() == 60
+
+
+@pytest.mark.parametrize("target, factor", [(0, 1), (3, 1), (8, 1), (8, 50), (500, 1), (None, 1)])
+def test_first_hits_come_from_tails(spark, make_certs, monkeypatch, target, factor):
+    monkeypatch.setattr(pl, "TAIL_FACTOR", factor)
+    monkeypatch.setattr(pl, "TAIL_GROWTH", 2)
+    rng = random.Random(6)
+    sans = {u: [[f"n{rng.randrange(9)}.{rng.choice(['com', 'net'])}" for _ in range(rng.randrange(0, 4))] for _ in range(n)] for u, n in (("https://a/", 30), ("https://b/", 25))}
+    certs = make_certs(sans["https://a/"], log_uri="https://a/").unionByName(make_certs(sans["https://b/"], log_uri="https://b/"))
+    want = []
+    for uri, s in sans.items():
+        for i in sorted(range(len(s)), key=scan_key(len(s), 7)):
+            passing = [n for n in s[i] if n.endswith(".com")]
+            want += [(uri, i, passing[0])] if passing else []
+    opts = pl.ScanOptions(query="domain LIKE '%.com'", batch_size=7, target=target)
+    got = [(r["log_uri"], r["log_index"], r["domain"]) for r in pl.first_hits(certs, sizes(certs), opts).collect()]
+    assert got == want[:target] if target is not None else sorted(got) == sorted(want)
+
+
+def test_first_hits_read_what_they_need(spark, make_certs, tmp_path, monkeypatch):
+    """The rows read for a target do not grow with the log."""
+    read = []
+    first_match = pl.scan.first_match
+    monkeypatch.setattr(pl.scan, "first_match", lambda part, rules: (read.append(part.count()), first_match(part, rules))[1])
+    for n in (300, 3000):
+        make_certs([[f"n{i}.com"] for i in range(n)]).write.parquet(str(tmp_path / str(n)))
+        certs = spark.read.parquet(str(tmp_path / str(n)))
+        heads = spark.createDataFrame([("https://a.example/", n)], "log_uri string, tree_size bigint")
+        assert pl.first_hits(certs, heads, pl.ScanOptions(target=2, batch_size=10)).count() == 2
+    assert read == [200, 200]

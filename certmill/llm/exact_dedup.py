@@ -175,19 +175,25 @@ def exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     )
 
 
-def _row_key(doc_id: Column, sha: Column) -> Column:
-    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), sha)
-
-
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_copies` keeps, with all their columns."""
+    """The rows of ``docs`` that :func:`exact_copies` keeps, with all their columns, whatever their names.
+
+    Of rows that repeat both id and text the one whose columns are smallest as JSON stays.
+    Null ids are one id, unlike any text; a null text is empty; an empty table stays empty.
+    """
     found = stored(exact_copies(docs, doc_id, text, **how).filter("not kept"), "dropped")
-    found = found.withColumn("_row_key", _row_key(F.col("doc_id"), F.col("text_sha256")))
-    others = found.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("_row_key").distinct()
+
+    def key(of: Column, sha: Column) -> Column:
+        return F.concat_ws(":", F.coalesce(F.concat(F.lit("="), of.cast("string")), F.lit("null")), sha)
+
+    found = found.select(key(F.col("doc_id"), F.col("text_sha256")).alias("key"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("same_id"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     sha = F.sha2(F.encode(normalised(F.col(text)), "UTF-8"), 256)
-    rows = lookup_join(docs.withColumn("_row_key", _row_key(F.col(doc_id), sha)), others, "_row_key", "left_anti")
-    repeated = found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("_row_key").distinct()
+    rows = docs.select(key(F.col(doc_id), sha).alias("key"), row.alias("row"))
+    rows = lookup_join(rows, found.filter("not same_id").select("key").distinct(), "key", "left_anti")
+    repeated = found.filter("same_id").select("key").distinct()
     if not repeated.isEmpty():
-        once = lookup_join(rows, repeated, "_row_key", "left_anti")
-        rows = once.unionByName(lookup_join(rows, repeated, "_row_key", "left_semi").dropDuplicates(["_row_key"]))
-    return rows.drop("_row_key")
+        once = lookup_join(rows, repeated, "key", "left_anti")
+        one = lookup_join(rows, repeated, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        rows = once.unionByName(one)
+    return rows.select("row.*")

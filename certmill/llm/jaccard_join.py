@@ -418,11 +418,12 @@ def similarity_join(docs: DataFrame, opts: JoinOptions = JoinOptions(), doc_id:
 
 
 def keep_one_of_each(docs: DataFrame, opts: JoinOptions = JoinOptions(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is that of their class, with all their columns.
+    """The rows of ``docs`` whose id is that of their class, with all their columns, whatever their names.
 
     Rows without id stay; rows that repeat a kept id stay, since the id names a document.
     """
     found = similarity_join(docs, opts, doc_id, text)
-    dropped = stored(found.filter("doc_id <> class_id").select(F.col("doc_id").alias("_dropped")).distinct(), "near-copies")
-    rows = docs.withColumn("_dropped", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**62))))
-    return lookup_join(rows, dropped, "_dropped", "left_anti").drop("_dropped")
+    dropped = stored(found.filter("doc_id <> class_id").select(F.col("doc_id").alias("id")).distinct(), "near-copies")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), row.alias("row"))
+    return lookup_join(rows, dropped, "id", "left_anti").select("row.*")

@@ -9,6 +9,7 @@ largest length of its cell.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -72,17 +73,20 @@ def best_boundaries(cells: list[tuple[int, int, int]], buckets: int) -> list[int
 
 
 def pack(
-    docs: DataFrame, opts: PackOptions = PackOptions(), doc_id: str = "doc_id", length: Column | None = None
+    docs: DataFrame, opts: PackOptions = PackOptions(), doc_id: str = "doc_id", length: Column | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per document: ``doc_id, n_tokens, bucket, padded_to, batch, slot, batch_capacity``.
 
     A batch holds documents of one bucket, each padded to ``padded_to`` tokens, at
     most ``budget`` in all. A document longer than the budget is whole, in a batch of
     its own bucket size. ``batch`` counts from 0 within a bucket. Null ids come
-    first, repeated rows are rows of their own.
+    first, repeated rows are rows of their own, an empty table has no batches. The columns ``keep`` of
+    ``docs`` follow under their names, which must not be those above; rows of a batch then lie together.
     """
     size = word_count(F.col("text")) if length is None else length
-    lengths = stored(docs.select(F.col(doc_id).alias("doc_id"), size.alias("n_tokens")), "lengths")
+    kept = F.struct(*[F.col(c) for c in keep]).alias("kept")
+    lengths = stored(docs.select(F.col(doc_id).alias("doc_id"), size.alias("n_tokens"), *[kept][: len(keep)]), "lengths")
     bounds = best_boundaries(length_histogram(lengths), opts.buckets) or [0]
     ends = F.array(*[F.lit(b).cast("long") for b in bounds])
     bucket = F.size(F.filter(ends, lambda b: b < F.col("n_tokens")))
@@ -96,6 +100,6 @@ def pack(
         .select(
             "doc_id", "n_tokens", "bucket", "padded_to",
             F.expr("(no - 1) div batch_capacity").alias("batch"),
-            ((F.col("no") - 1) % F.col("batch_capacity")).alias("slot"), "batch_capacity",
+            ((F.col("no") - 1) % F.col("batch_capacity")).alias("slot"), "batch_capacity", *[f"kept.{c}" for c in keep],
         )
     )

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from certmill.llm.spans import count_of, digest, in_order, listed, match_spans
+from certmill.llm.spans import before_each, count_of, cut, digest, in_order, listed, match_spans, pieces
 
 # Patterns of the base kinds, written so that a search is linear: a match starts at
 # the start of a run of its characters, or where the last match ended, and repeats
@@ -63,10 +63,9 @@ def mod97_valid(code: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), step) == 1
 
 
-def _scored(spans: Column, kind: str, text: Column) -> Column:
+def _scored(spans: Column, kind: str, parts: Column) -> Column:
     def one(s: Column) -> Column:
-        begin = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        before = F.lower(F.substring(text, begin + 1, s["start"] - begin))
+        before = F.lower(cut(parts, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)), s["start"]))
         bonus = F.when(before.rlike(CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0)
         return F.struct(
             s["start"].alias("start"), s["no"].alias("no"), s["end"].alias("end"), s["kind"].alias("kind"),
@@ -76,17 +75,11 @@ def _scored(spans: Column, kind: str, text: Column) -> Column:
     return F.transform(spans, one)
 
 
-def find_private(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``base_spans`` and ``all_spans``: arrays of (start, no, end, kind, score) by start, then kind.
-
-    Base kinds stay whatever their score; added kinds (account numbers, social
-    security numbers) are reported from a score of 0.5. A null text is empty.
-    Columns of ``docs`` that have these two names are replaced.
-    """
-    plain = [c for c in docs.columns if c not in ("base_spans", "all_spans")]
-    t = F.col("_text")
+def _found(docs: DataFrame, text: str) -> DataFrame:
+    """``row`` (all columns of ``docs``), ``parts`` of its text where it has spans, ``base_spans``, ``all_spans``."""
+    t = F.col("text")
     digit = t.rlike("[0-9]")
-    rows = docs.select(*plain, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     length = lambda s: F.length(_digits(s["match"]))
     found = {
         "email": match_spans(t, EMAIL, "email", 0, F.contains(t, F.lit("@"))),
@@ -100,11 +93,26 @@ def find_private(docs: DataFrame, text: str = "text") -> DataFrame:
         "ssn": F.filter(match_spans(t, SSN, "ssn", 5, digit), lambda s: ~s["match"].rlike(_NO_SSN)),
     }
     # Each kind once in its own column, then scored, then put together.
-    rows = rows.select("*", *[c.alias(f"_{k}") for k, c in found.items()])
-    rows = rows.select(*plain, *[_scored(F.col(f"_{k}"), k, t).alias(f"_{k}") for k in found])
-    extra = [F.filter(F.col(f"_{k}"), lambda s: s["score"] >= REPORT_FROM) for k in ("iban", "ssn")]
-    rows = rows.withColumn("base_spans", in_order(*[F.col(f"_{k}") for k in BASE_KINDS]))
-    return rows.select(*plain, "base_spans", in_order(F.col("base_spans"), *extra).alias("all_spans"))
+    rows = rows.select("row", "text", *[c.alias(k) for k, c in found.items()])
+    some = sum((F.size(k) for k in found), F.lit(0)) > 0
+    rows = rows.select("row", *found, F.when(some, pieces(t)).alias("parts"))
+    rows = rows.select("row", "parts", *[_scored(F.col(k), k, F.col("parts")).alias(k) for k in found])
+    extra = [F.filter(k, lambda s: s["score"] >= REPORT_FROM) for k in ("iban", "ssn")]
+    rows = rows.select("row", "parts", in_order(*[F.col(k) for k in BASE_KINDS]).alias("base_spans"), *[e.alias(k) for e, k in zip(extra, ("iban", "ssn"), strict=True)])
+    return rows.select("row", "parts", "base_spans", in_order(F.col("base_spans"), F.col("iban"), F.col("ssn")).alias("all_spans"))
+
+
+def find_private(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``base_spans`` and ``all_spans``: arrays of (start, no, end, kind, score) by start, then kind.
+
+    Base kinds stay whatever their score; added kinds (account numbers, social
+    security numbers) are reported from a score of 0.5. A null text is empty, an empty
+    table has no rows, repeated rows are rows of their own; spans that start together are ordered by kind.
+    Columns of ``docs`` that have these two names are replaced, all others stay. Work grows
+    with the length of a text, however many matches it has.
+    """
+    plain = [c for c in docs.columns if c not in ("base_spans", "all_spans")]
+    return _found(docs, text).select(*[F.col(f"row.`{c}`") for c in plain], "base_spans", "all_spans")
 
 
 def span_digests(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -122,17 +130,27 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars")
     """``docs`` with every reported span replaced by its kind in brackets; other texts stay as they are.
 
     Overlapping spans are cut out together under the kind of the first. ``n_chars``,
-    where there is such a column, follows the new text. A null text stays null.
+    where there is such a column, follows the new text. A null text stays null. All other
+    columns keep their values, whatever their names; repeated rows stay, an empty table stays empty.
     """
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text)))
-    changed = F.size("all_spans") > 0
-    new = F.when(changed, F.aggregate("all_spans", begin, step, rest)).otherwise(F.col(text))
-    out = find_private(docs, text).select("*", F.explode(F.array(F.struct(new.alias("t"), changed.alias("c")))).alias("_new"))
-    count = {n_chars: F.when(F.col("_new.c"), F.length("_new.t")).otherwise(F.col(n_chars)).cast(docs.schema[n_chars].dataType)} if n_chars in docs.columns else {}
-    return out.withColumns({text: F.col("_new.t"), **count}).select(*docs.columns)
+    spans, parts = F.col("all_spans"), F.col("parts")
+    ends = before_each(spans, lambda s: s["end"], F.greatest)
+
+    def piece(s: Column, at: Column) -> Column:
+        mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        return F.when(s["start"] >= at, F.concat(cut(parts, at, s["start"]), mark)).otherwise("")
+
+    old = F.col(f"row.`{text}`")
+    rest = cut(parts, F.array_max(F.transform(spans, lambda s: s["end"])), F.length(old))
+    new = F.concat(F.array_join(F.zip_with(spans, ends, piece), ""), rest)
+    # The changed text once, in a column of its own.
+    out = _found(docs, text).select("row", F.explode(F.array(F.when(F.size("all_spans") > 0, new))).alias("new"))
+    columns = []
+    for c in docs.columns:
+        column = F.col(f"row.`{c}`")
+        if c == text:
+            column = F.coalesce("new", column)
+        elif c == n_chars:
+            column = F.when(F.col("new").isNotNull(), F.length("new").cast(docs.schema[c].dataType)).otherwise(column)
+        columns.append(column.alias(c))
+    return out.select(*columns)

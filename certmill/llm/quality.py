@@ -25,6 +25,7 @@ from certmill.session import stored
 #: The classifier is fitted on at most this many labelled documents, those of smallest hash.
 FIT_ROWS = 20_000
 KEEP_FROM = 0.5
+WINDOW = 1000
 FEATURES = ("upper", "symbols", "bangs", "pipes", "digits", "repeats", "distinct", "word_length", "log_words", "commas")
 
 
@@ -38,10 +39,12 @@ def text_features(text: str | None) -> list[float]:
     marks = raw[33:127].sum() - raw[65:91].sum() - raw[97:123].sum() - digits
     plain = raw[[ord(c) for c in ".,;:'\"?!-|()"]].sum()
     n, chars = len(words), max(1, raw.sum())
+    # Distinct words of windows over the whole text: their share does not fall with its length.
+    distinct = sum(len(set(words[at : at + WINDOW])) for at in range(0, n, WINDOW))
     same = sum(a == b for a, b in zip(words, words[1:], strict=False))
     return [
         upper / max(1, upper + lower), (marks - plain) / chars, raw[33] / n, raw[124] / n, digits / chars,
-        same / n, len(set(words[:1000])) / min(n, 1000), min(chars / n, 40.0) / 10, float(np.log1p(n)) / 10, raw[44] / n,
+        same / n, distinct / n, min(chars / n, 40.0) / 10, float(np.log1p(n)) / 10, raw[44] / n,
     ]
 
 

@@ -37,8 +37,8 @@ def _mixed(s: Column) -> Column:
 
 def find_parts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One stored row per document: ``row_id, doc_id, base, weak``, the spans found in its text."""
-    t = F.col("_text")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    t = F.col("text")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     base = {
         "assign": F.filter(
             match_spans(t, ASSIGN, "assign", 0, t.rlike(_NAMES)),
@@ -57,6 +57,15 @@ def find_parts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return stored(rows.withColumn("row_id", F.monotonically_increasing_id()), "secret-parts")
 
 
+def _clear(weak: DataFrame, base: DataFrame, scope: int) -> DataFrame:
+    """The weak spans that overlap no base span, by an interval join on the stretches that spans touch."""
+    touched = F.explode(F.sequence(F.expr(f"start div {scope}"), F.expr(f"(end - 1) div {scope}"))).alias("stretch")
+    others = base.select("row_id", F.col("start").alias("other_start"), F.col("end").alias("other_end"), touched)
+    met = weak.select("row_id", "start", "no", "end", touched).join(others, ["row_id", "stretch"])
+    met = met.filter((F.col("other_start") < F.col("end")) & (F.col("start") < F.col("other_end")))
+    return weak.join(met.select("row_id", "start", "no").distinct(), ["row_id", "start", "no"], "left_anti").select(*weak.columns)
+
+
 def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The weak parts that have complementary parts within ``scope`` characters: ``row_id, added``.
 
@@ -70,14 +79,11 @@ def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
         .when(F.col("kind").isin("assign", "hex", "weak_secret"), "secret")
         .otherwise("endpoint")
     )
-    clear = F.filter(
-        "weak",
-        lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])),
-    )
-    weak = spread(clear).withColumn("role", role)
+    base, clear = spread("base"), stored(_clear(spread("weak"), spread("base"), scope), "clear-parts")
+    weak = clear.withColumn("role", role)
     place = F.expr(f"start div {scope}")
     near = (
-        spread(F.concat("base", clear)).withColumn("role", role).filter("role <> 'endpoint'")
+        base.unionByName(clear).withColumn("role", role).filter("role <> 'endpoint'")
         .withColumn("stretch", F.explode(F.array(place - 1, place, place + 1)))
         .select("row_id", "stretch", F.col("start").alias("other_start"), F.col("role").alias("other_role")).distinct()
     )
@@ -95,7 +101,8 @@ def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
 def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
     """One row per document: ``doc_id, base_spans, all_spans``; a null text is empty.
 
-    ``all_spans`` has the base spans and the weak ones that :func:`link_parts` confirms.
+    ``all_spans`` has the base spans and the weak ones that :func:`link_parts` confirms, by start,
+    then kind. Repeated rows are rows of their own, an empty table has none, other columns are not read.
     """
     parts = find_parts(docs, doc_id, text)
     added = stored(link_parts(parts, scope), "linked-parts")

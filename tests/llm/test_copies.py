@@ -49,6 +49,21 @@ def test_kept_rows_keep_all_columns(docs, rows):
     assert sorted(norm(r.text) for r in got.collect()) == sorted({norm(t) for _, t, *_ in rows})
 
 
+def test_no_column_is_lost(spark):
+    data = [(1, "a  b", "x", "p"), (2, "a b", "y", "q"), (2, "a b", "y", "q"), (None, "c", "z", None), (None, "c", "a", None), (5, "null", "k", "k"), (None, None, "n", "n")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, _row_key string, key string").withColumn("row", F.lit(7)).withColumn("same_id", F.map_from_arrays(F.array("_row_key"), F.array(F.lit(1))))
+    got = e.drop_copies(docs)
+    assert got.dtypes == docs.dtypes
+    # Of rows equal in id and text the smallest by their columns stays.
+    kept = {(r.doc_id, r.text, r._row_key, r.key, r.row, r.same_id[r._row_key]) for r in got.collect()}
+    assert kept == {(1, "a  b", "x", "p", 7, 1), (None, "c", "a", None, 7, 1), (5, "null", "k", "k", 7, 1), (None, None, "n", "n", 7, 1)}
+
+
+def test_null_and_the_text_null_are_two_ids(spark):
+    docs = spark.createDataFrame([(None, "t"), ("null", "t"), ("null", "u")], "doc_id string, text string")
+    assert sorted(map(str, e.drop_copies(docs).collect())) == sorted(["Row(doc_id='null', text='t')", "Row(doc_id='null', text='u')"])
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert e.exact_copies(none).count() == 0 and e.drop_copies(none).count() == 0

@@ -69,6 +69,15 @@ def test_one_of_each_group_stays(spark, texts):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == want
 
 
+def test_no_column_is_lost(spark, texts):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-(2**62), "far away")], "doc_id long, text string").selectExpr(
+        "*", "concat('a', doc_id) AS _dropped", "concat('b', doc_id) AS id", "concat('c', doc_id) AS row"
+    )
+    kept = j.keep_one_of_each(docs).collect()
+    assert all((r._dropped, r.id, r.row) == (f"a{r.doc_id}", f"b{r.doc_id}", f"c{r.doc_id}") for r in kept)
+    assert -(2**62) in {r.doc_id for r in kept}
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert j.similarity_join(none).count() == 0 and j.keep_one_of_each(none).count() == 0

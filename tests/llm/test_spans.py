@@ -1,7 +1,10 @@
+import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from certmill.llm import pii, secret_scan as ss
-from certmill.llm.queries import QUERIES  # noqa: F401
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -54,6 +57,51 @@ def test_redaction_cuts_every_span_and_nothing_else(spark):
     assert out[0].n_chars == 16 and out[2].n_chars == 5 and pii.redact(docs).columns == docs.columns
 
 
+def test_columns_keep_their_values(spark):
+    clashing = ["all_spans", "base_spans", "_text", "_email", "_new", "row", "parts", "new", "ssn", "start"]
+    docs = spark.createDataFrame(
+        [("a.b@c.de and +1 234 567 8901, a.b@c.de", *[f"mine{i}" for i in range(len(clashing))], 40)] * 2 + [(None, *[None] * len(clashing), None)],
+        "text string, " + ", ".join(f"{c} string" for c in clashing) + ", n_chars int",
+    )
+    got = pii.redact(docs)
+    assert got.dtypes == docs.dtypes
+    rows = got.collect()
+    assert rows[0] == rows[1] == ("[EMAIL] and [PHONE], [EMAIL]", *[f"mine{i}" for i in range(len(clashing))], 28)
+    assert rows[2] == (None,) * (len(clashing) + 2)
+    found = pii.find_private(docs).first()
+    assert [s.kind for s in found["base_spans"]] == ["email", "phone", "email"] and found["_text"] == "mine2" and found["row"] == "mine5"
+
+
+def test_overlaps_and_long_texts_are_cut_in_order(spark):
+    r = random.Random(3)
+    parts = ["a.b@c.de", "10.0.0.1", "+1 234 567 8901", "4111 1111 1111 1111", "é😀", "x" * 990, " ", "4111.11.11.11@x.yz", "\n"]
+    texts = ["".join(r.choice(parts) for _ in range(r.choice([1, 5, 700]))) for _ in range(40)]
+    docs = frame(spark, texts)
+    found = {r.doc_id: r for r in pii.find_private(docs).collect()}
+    assert {i: [(s.kind, s.start, s.end) for s in f.base_spans] for i, f in found.items()} == {i: base_spans(t) for i, t in enumerate(texts)}
+    for got in pii.redact(docs).collect():
+        t, out, at = texts[got.doc_id], [], 0
+        for s in found[got.doc_id].all_spans:
+            if s.start >= at:
+                out.append(t[at : s.start] + f"[{s.kind.upper()}]")
+            at = max(at, s.end)
+        want = "".join(out) + t[at:]
+        assert got.text == want and got.n_chars == len(want)
+
+
+def test_time_does_not_grow_with_the_square_of_matches(spark):
+    """200,000 addresses and as many weak parts in one text: by the square this would take hours."""
+    text = "call +1 234 567 8901 mail a.b@c.de " * 100_000
+    began = time.time()
+    got = pii.span_digests(pii.find_private(frame(spark, [text]))).first()
+    assert (got.n_email, got.n_phone) == (100_000, 100_000)
+    assert pii.redact(frame(spark, [text])).first().text == "call [PHONE] mail [EMAIL] " * 100_000
+    secrets = "https://h.example/path " + "0123456789abcdef" * 2 + " "
+    found = ss.find_secrets(frame(spark, [secrets * 20_000])).select(F.size("base_spans").alias("n")).first()
+    assert found.n == 20_000
+    assert time.time() - began < 240
+
+
 def test_empty_tables(spark):
     assert pii.redact(frame(spark, ["x"]).filter("false")).count() == 0
     assert ss.find_secrets(frame(spark, ["x"]).filter("false")).count() == 0

@@ -34,8 +34,8 @@ def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The batch and slot of each document."""
-    return packing.pack(docs)
+    """The batch and slot of each document, with its text."""
+    return packing.pack(docs, keep=["text"])
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from certmill.functions import framing as fr
 from certmill.functions.fields import missing
 from certmill.operators import scan
-from certmill.plans.joins import lookup_join, spread_join, with_kept
+from certmill.plans.joins import lookup_join, with_kept
 from certmill.schemas import PARSED_COLUMNS
 from certmill.session import stored
 
@@ -96,23 +96,66 @@ def decode_audit(decoded: DataFrame, tree_sizes: DataFrame, batch_size: int) ->
     )
 
 
+def entry_coverage(entries: DataFrame, tree_sizes: DataFrame, index: str = "index") -> DataFrame:
+    """Per log what a read of its entries holds and lacks, and what no scan sees.
+
+    ``received`` rows, ``distinct_indices`` below the tree size, ``repeated`` rows of an index
+    that was there already, ``missing`` indices, ``beyond_tree`` rows at or above the size, ``no_size`` rows of a log
+    without one. Logs with a size and no row are there too.
+    """
+    rows = entries.groupBy("log_uri", F.col(index).alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    sized = lookup_join(rows, tree_sizes.select("log_uri", "tree_size"), "log_uri", "left")
+    inside, n = F.coalesce(F.col("i") < F.col("tree_size"), F.lit(False)), F.col("n")
+    counts = sized.groupBy("log_uri").agg(
+        F.sum("n").alias("received"), F.count_if(inside).alias("distinct_indices"),
+        F.sum(F.when(inside, n - 1).otherwise(0)).alias("repeated"),
+        F.sum(F.when(F.col("tree_size").isNotNull() & ~inside, n).otherwise(0)).alias("beyond_tree"),
+        F.sum(F.when(F.col("tree_size").isNull(), n).otherwise(0)).alias("no_size"),
+    )
+    zero = [c for c in counts.columns if c != "log_uri"]
+    every = counts.join(tree_sizes.select("log_uri", "tree_size"), "log_uri", "full").fillna(0, zero)
+    return every.withColumn("missing", F.coalesce(F.col("tree_size") - F.col("distinct_indices"), F.lit(0)))
+
+
+def missing_ranges(entries: DataFrame, tree_sizes: DataFrame, index: str = "index", block: int = 1_000_000) -> DataFrame:
+    """Closed ranges of the indices below the tree size that no row of ``entries`` has: ``log_uri, first_missing, last_missing``.
+
+    Gaps inside blocks of ``block`` indices come from a window over each block; those between
+    blocks from one row per block, so that a huge log is many tasks.
+    """
+    i, size = F.col("i"), F.col("tree_size")
+    held = lookup_join(entries.select("log_uri", F.col(index).alias("i")), tree_sizes.select("log_uri", "tree_size"), "log_uri", "inner")
+    held = stored(held.where(i < size).select("log_uri", "i").distinct().withColumn("block", F.floor(i / block)), "held-indices")
+    before = F.lag("i").over(W.partitionBy("log_uri", "block").orderBy("i"))
+    inside = held.withColumn("before", before).where(i - F.col("before") > 1).select(
+        "log_uri", (F.col("before") + 1).alias("first_missing"), (i - 1).alias("last_missing")
+    )
+    ends = held.groupBy("log_uri", "block").agg(F.min("i").alias("low"), F.max("i").alias("high"))
+    # The end of the tree is a block of its own.
+    last = tree_sizes.select("log_uri", F.lit(2**62).alias("block"), size.alias("low"), size.alias("high"))
+    earlier = F.coalesce(F.lag("high").over(W.partitionBy("log_uri").orderBy("block")), F.lit(-1))
+    between = ends.unionByName(last).withColumn("before", earlier).where(F.col("low") - F.col("before") > 1).select(
+        "log_uri", (F.col("before") + 1).alias("first_missing"), (F.col("low") - 1).alias("last_missing")
+    )
+    return inside.unionByName(between)
+
+
 def parsed_rows(decoded: DataFrame, certs: DataFrame) -> DataFrame:
     """Decoded entries with the certificate fields that ``certs`` holds for the same bytes.
 
     Every entry that was not refused has a row; without fields its texts are the
-    sentinel, its ``san`` is empty and ``fields_known`` is false. Both sides are
-    large, so this is a shuffle join on the digest; the field side is made unique
-    first, and a digest that very many entries share is spread over many tasks.
+    sentinel, its ``san`` is empty and ``fields_known`` is false. The field side is made
+    unique and stored, so Spark knows its size: a small one is broadcast, with a large one
+    both sides are shuffled on the digest, and adaptive execution splits a digest that very many entries
+    share. Entries are decoded once, when the frame is used; building it reads the field side alone.
     """
     # Refused entries have no digest.
     good = with_kept(decoded, "fingerprint", fr.fingerprint(F.col("der")), lambda d: d.isNotNull())
     fields = [
         "issuer_cn", "issuer_org", "subject_cn", "subject_org", "not_before", "not_after", "san",
     ]
-    known = certs.groupBy("fingerprint").agg(
-        F.min(F.struct(*fields)).alias("_f")
-    )
-    joined = spread_join(good, known, ["fingerprint"], "left").select("*", "_f.*")
+    known = stored(certs.groupBy("fingerprint").agg(F.min(F.struct(*fields)).alias("_f")), "cert-fields")
+    joined = good.join(known, "fingerprint", "left").select("*", "_f.*")
     known_text = {c: F.when(F.col("_f").isNull(), missing(F.col(c))).otherwise(F.col(c)) for c in fields[:-1]}
     no_names = F.array().cast("array<string>")
     return (

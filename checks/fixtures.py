@@ -107,6 +107,18 @@ class Fixtures:
             )
         )
 
+    def partial_entries(self) -> DataFrame:
+        """Indices of four logs with gaps and repeats; see :meth:`partial_sizes`."""
+        rows = self.table("events").selectExpr("concat('https://log', event_id % 4, '.example/') AS log_uri", "event_id div 4 AS index")
+        kept = rows.where("index % 7 <> 3 AND index % 100 >= 5")
+        return kept.unionByName(kept.where("index % 11 = 5"))
+
+    def partial_sizes(self) -> DataFrame:
+        """Heads of logs 0 to 2 that are behind some entries, and of a log without entries; log 3 has none."""
+        return self.table("events").selectExpr("event_id % 4 AS k", "event_id div 4 AS i").groupBy("k").agg(F.max("i").alias("m")).selectExpr(
+            "CASE WHEN k = 3 THEN 'https://log9.example/' ELSE concat('https://log', k, '.example/') END AS log_uri", "m - 20 * k AS tree_size"
+        )
+
     def cert_fields(self) -> DataFrame:
         """Certificate fields by fingerprint, for the bytes that the entries carry."""
         return self.table("events").selectExpr(

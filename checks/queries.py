@@ -986,6 +986,35 @@ def _(x):
     )
 
 
+_PARTIAL_SQL = """
+WITH e0 AS (SELECT 'https://log' || (event_id % 4) || '.example/' AS log_uri, event_id // 4 AS i FROM events),
+kept AS (SELECT * FROM e0 WHERE i % 7 <> 3 AND i % 100 >= 5),
+e AS (SELECT * FROM kept UNION ALL SELECT * FROM kept WHERE i % 11 = 5),
+s AS (SELECT CASE WHEN k = 3 THEN 'https://log9.example/' ELSE 'https://log' || k || '.example/' END AS log_uri, max(i) - 20 * k AS tree_size
+  FROM (SELECT event_id % 4 AS k, event_id // 4 AS i FROM events) GROUP BY k)
+"""
+
+
+@query("entry_coverage", _PARTIAL_SQL + """
+, c AS (SELECT log_uri, count(*) AS received, count(DISTINCT CASE WHEN i < tree_size THEN i END) AS distinct_indices,
+    count(*) FILTER (i < tree_size) AS below, count(*) FILTER (i >= tree_size) AS beyond_tree, count(*) FILTER (tree_size IS NULL) AS no_size
+  FROM e LEFT JOIN s USING (log_uri) GROUP BY log_uri)
+SELECT log_uri, coalesce(received, 0) AS received, coalesce(distinct_indices, 0) AS distinct_indices,
+  coalesce(below - distinct_indices, 0) AS repeated, coalesce(beyond_tree, 0) AS beyond_tree, coalesce(no_size, 0) AS no_size,
+  coalesce(tree_size - coalesce(distinct_indices, 0), 0) AS missing FROM c FULL JOIN s USING (log_uri)""")
+def _(x):
+    found = en.entry_coverage(x.partial_entries(), stored(x.partial_sizes(), "heads"))
+    return found.drop("tree_size")
+
+
+@query("missing_ranges", _PARTIAL_SQL + """
+, gone AS (SELECT log_uri, i FROM (SELECT log_uri, unnest(range(tree_size)) AS i FROM s) ANTI JOIN e USING (log_uri, i))
+SELECT log_uri, min(i) AS first_missing, max(i) AS last_missing FROM (
+  SELECT log_uri, i, i - row_number() OVER (PARTITION BY log_uri ORDER BY i) AS part FROM gone) GROUP BY log_uri, part""")
+def _(x):
+    return en.missing_ranges(x.partial_entries(), stored(x.partial_sizes(), "heads"), block=1000)
+
+
 @query("session_state", with_("clean", "placed", "logs", recursive=True) + _assign_sql(f"""
 SELECT ord, clean AS name, min(pos) AS step FROM (
   SELECT c.clean, c.pos, r.log_rank * 1000000000 + p.scan_pos AS ord FROM clean c JOIN placed p USING (log_uri, log_index)

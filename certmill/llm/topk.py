@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from certmill.session import stored
 
@@ -181,11 +181,16 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, blocks: list[tuple[np.ndarray
     return q_ids[best_q], best_i, best_s
 
 
+def lane_of(block: Column, lanes: int) -> Column:
+    """The lane of a block: ids start at partition << 33, so their remainders alone would share few lanes."""
+    return F.pmod(F.xxhash64(block), F.lit(lanes).cast("long"))
+
+
 def top_products(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK) -> DataFrame:
     """The ``k`` highest inner products of each query: ``query_id, rank, vec_id, score``.
 
     Both frames are those of :func:`integer_vectors`. A query's own id is no candidate;
-    ties go to the smaller id; with fewer candidates all are returned. Vectors of
+    ties go to the smaller id; with fewer candidates than ``k`` all are returned, from an empty table none. Vectors of
     different length are compared as if filled with zeros.
     """
     shape = _shape(vectors)
@@ -194,7 +199,7 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int
     query_blocks, lanes = max(1, -(-asked // block)), max(1, -(-shape.rows // (block * BLOCKS_PER_TASK)))
     sorted_rows = vectors.repartitionByRange(F.col("norm").desc(), F.col("vec_id")).sortWithinPartitions(F.col("norm").desc(), "vec_id")
     candidates = _blocks(sorted_rows, dims, block).select(
-        "*", F.pmod(F.monotonically_increasing_id(), F.lit(lanes)).alias("lane"),
+        "*", lane_of(F.monotonically_increasing_id(), lanes).alias("lane"),
         F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"),
     )
     asked_rows = queries.select(

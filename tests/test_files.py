@@ -153,3 +153,14 @@ def test_stream_names_are_unique_across_runs(spark, tmp_path, bounded):
 
     assert run(["a.com", "*.a.com", "b.com"]) == ["a.com", "b.com"]
     assert run(["b.com", "c.com"]) == ["a.com", "b.com", "c.com"]
+
+
+def test_a_plain_folder_is_one_of_the_default_file_system(spark):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    assert sk._shared_uri(spark, "/a/b") == "file:///a/b" and sk._shared_uri(spark, "s3a://x/y") == "s3a://x/y"
+    try:
+        conf.set("fs.defaultFS", "hdfs://name:8020/")
+        assert sk._shared_uri(spark, "/a/b") == "hdfs://name:8020/a/b"
+    finally:
+        conf.set("fs.defaultFS", before)

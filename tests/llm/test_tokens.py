@@ -1,6 +1,7 @@
 import base64
 import hashlib
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -75,6 +76,34 @@ def test_pre_tokens_add_up(t):
     assert sum(len(model.encode(w)) if w else 1 for w in tc.pre_tokens(t)) == len(model.encode(t))
 
 
+def test_table_finds_its_own_words_only():
+    words = [f"w{i}" for i in range(500)] + ["", "é漢"]
+    table = tc.LengthTable.of(words, list(range(502)))
+    assert table.find(words).tolist() == list(range(502)) and (table.find([f"x{i}" for i in range(500)]) == -1).all()
+    one = tc.LengthTable(table.first, table.second + np.uint64(1), table.length)
+    assert (one.find(words) == -1).all() and tc.LengthTable.of([], []).find(["a"]).tolist() == [-1] and len(table.find([])) == 0
+
+
+def test_equal_first_halves_are_left_to_the_second_tier(monkeypatch):
+    monkeypatch.setattr(tc, "hashes", lambda ws: np.array([[len(w), sum(w.encode())] for w in ws], np.uint64).reshape(-1, 2))
+    assert tc.LengthTable.of(["ab", "cd", "xyz"], [1, 2, 3]).find(["ab", "cd", "xyz", "zyx", "abc"]).tolist() == [-1, -1, 3, 3, -1]
+
+
+def test_lengths_kept_by_a_worker_are_bounded():
+    kept = tc.Lengths()
+    kept.add([f"{i:05d}" * 20 for i in range(10_000)] + ["x" * 5000], list(range(10_001)), 100_000, 1 << 20)
+    assert kept.size <= 1 << 20 and len(kept.by_word) <= (1 << 20) // 560 and "x" * 5000 not in kept.by_word
+    kept.add(["a", "b", "c"], [1, 1, 1], 2, 1 << 20)
+    assert kept.by_word == {"c": 1} or len(kept.by_word) <= 2
+
+
+def test_long_pre_tokens_and_repeated_rows(spark, piece):
+    texts = ["漢字" * 25_000, "QUJD" * 25_000 + " a", "a b", "a b", "a b"]
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = tc.token_counts(docs, MODEL, [F.col("doc_id")]).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in rows) == sorted((i // 2, len(piece.encode(t))) for i, t in enumerate(texts))
+
+
 def test_empty_table(docs):
     none = docs.filter("false")
     assert bpe.round_trip(none, RANKS, P.PATTERN, [F.col("doc_id")]).count() == 0

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from certmill.functions.names import strip_wildcard
+from certmill.operators.known import KnownNames, only_known, without_known
 from certmill.operators.loglist import slash_url
 from certmill.plans.joins import lookup_join
 from certmill.plans.numbering import number_rows
@@ -47,27 +48,32 @@ def known_union(*name_tables: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def skip_known(named: DataFrame, known: DataFrame, name: str = "domain") -> DataFrame:
-    """Rows whose name is not known; both sides are compared without wildcard."""
-    seen = known.select(strip_wildcard(F.col("domain")).alias("_clean")).distinct()
+def skip_known(named: DataFrame, known: DataFrame | KnownNames, name: str = "domain") -> DataFrame:
+    """Rows whose name is not known; both sides are compared without wildcard.
+
+    Names stored by :func:`certmill.operators.known.store_known` are looked up behind their filter.
+    """
     marked = named.withColumn("_clean", strip_wildcard(F.col(name)))
+    if isinstance(known, KnownNames):
+        return without_known(marked, known).drop("_clean")
+    seen = known.select(strip_wildcard(F.col("domain")).alias("_clean")).distinct()
     return lookup_join(marked, seen, "_clean", "left_anti", check=known.select("domain")).drop("_clean")
 
 
-def skip_known_options(certs: DataFrame, known: DataFrame) -> DataFrame:
+def skip_known_options(certs: DataFrame, known: DataFrame | KnownNames) -> DataFrame:
     """``options`` without known names, order kept.
 
     The known names of a session are few beside the certificates; they are
-    turned into (ord, name) pairs only for certificates that carry one.
+    turned into (ord, name) pairs only for certificates that carry one. Of names stored
+    with their filter, a pair without a set bit goes no further than its own task.
     """
-    seen = known.select(strip_wildcard(F.col("domain")).alias("_name")).distinct()
-    pairs = certs.select("ord", F.explode(F.transform("options", lambda o: o["clean"])).alias("_name"))
-    bad = (
-        lookup_join(pairs, seen, "_name", "left_semi", check=known.select("domain"))
-        .groupBy("ord")
-        .agg(F.collect_set("_name").alias("_bad"))
-    )
-    joined = certs.join(bad, "ord", "left")
+    pairs = certs.select("ord", F.explode(F.transform("options", lambda o: o["clean"])).alias("_clean"))
+    if isinstance(known, KnownNames):
+        found = only_known(pairs, known)
+    else:
+        seen = known.select(strip_wildcard(F.col("domain")).alias("_clean")).distinct()
+        found = lookup_join(pairs, seen, "_clean", "left_semi", check=known.select("domain"))
+    joined = certs.join(found.groupBy("ord").agg(F.collect_set("_clean").alias("_bad")), "ord", "left")
     return joined.withColumn(
         "options",
         F.when(F.col("_bad").isNull(), F.col("options")).otherwise(

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from certmill.functions import dns, fields, framing as fr, names as nm
 from certmill.functions.registry import register_functions
 from certmill.operators import (
-    certs as ct, dnsobs, entries as en, jobs as jb, loglist as ll, psl, roots as rt,
+    certs as ct, dnsobs, entries as en, jobs as jb, known as kn, loglist as ll, psl, roots as rt,
     rules as rl, scan, scts as sc,
 )
 from certmill.plans import audits as pl, state as ss
 from certmill.session import new_table_path, stored
 from certmill.sinks import files as sk
 from certmill.sources import certfiles, dump, loglist as sll, psl as spsl, roots as srt, rules as srl
-from certmill.streaming import scan as st
+from certmill.streaming import names as sn, scan as st
 from checks.fixtures import AS_OF, BATCH, Fixtures
 from checks.fixtures_sql import with_
 
@@ -759,6 +759,16 @@ def _(x):
     return jb.skip_known(_named(x), jb.job_known(x.matches())).select(*_KEY, _pos(), "domain")
 
 
+@query("skip_known_stored", with_("clean", "matches") + """
+SELECT log_uri, log_index, CAST(pos AS BIGINT) AS pos, domain FROM clean WHERE clean NOT IN (
+  SELECT CASE WHEN domain LIKE '*.%' THEN substr(domain, 3) ELSE domain END FROM matches)""")
+def _(x):
+    # The bound is set low so that the filter works at every size.
+    marked = _named(x).withColumn("_clean", nm.strip_wildcard(F.col("domain")))
+    known = kn.store_known(jb.job_known(x.matches()))
+    return kn.without_known(marked, known, max_rows=0).select(*_KEY, _pos(), "domain")
+
+
 # --- 2.6 aggregations ------------------------------------------------------------------------
 
 @query("logs_per_operator", with_("logs", "ops") + """
@@ -1157,6 +1167,15 @@ def _(x):
     return x.spark.read.schema("clean STRING").parquet(f"{base}/out")
 
 
+@query("stream_names_kept", with_("clean") + "SELECT DISTINCT clean FROM clean")
+def _(x):
+    base = new_table_path(x.spark, "stream-kept")
+    _named(x).select("domain").write.parquet(f"{base}/in")
+    stream = x.spark.readStream.schema("domain STRING").option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
+    sn.keep_names(stream, f"{base}/out", f"{base}/checkpoint", "10 minutes").awaitTermination()
+    return sn.kept_names(x.spark, f"{base}/out")
+
+
 @query("start_job", with_("jobs") + f"""
 SELECT id, log_uri, next_end_index, matched_count, status, created_at FROM jobs UNION ALL
 SELECT max(id) + 1, 'https://log9.example/', 4999, 0, 'running', '{NOW}' FROM jobs""")

@@ -11,7 +11,7 @@ from certmill.schemas import PARSED_COLUMNS
 from certmill.sinks import files as sk
 from certmill.sources.certfiles import read_cert_files
 from certmill.sources.dump import dump_audit, dump_metadata, read_dump
-from certmill.streaming import scan as st
+from certmill.streaming import names, scan as st
 from tests.test_framing import b64, chain, leaf
 
 
@@ -155,6 +155,38 @@ def test_stream_names_are_unique_across_runs(spark, tmp_path, bounded):
     assert run(["b.com", "c.com"]) == ["a.com", "b.com", "c.com"]
 
 
+@pytest.mark.parametrize("every", [1, 3, 16])
+def test_names_never_return_and_state_stays_bounded(spark, tmp_path, every):
+    src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    seen, states = set(), []
+    for step in range(2):
+        for part in range(4):
+            # Each file repeats the first names and half of those before it; a wildcard is the same name.
+            first = 400 * (4 * step + part)
+            rows = spark.range(600).selectExpr(f"concat(IF(id % 2 = 0, '*.', ''), 'n', IF(id < 50, id, {first} + id), '.com') AS domain")
+            rows.unionByName(spark.createDataFrame([(None,)], "domain string")).coalesce(1).write.mode("append").parquet(src)
+            seen |= {f"n{i if i < 50 else first + i}.com" for i in range(600)}
+        stream = spark.readStream.schema("domain string").option("maxFilesPerTrigger", 1).parquet(src)
+        query = names.keep_names(stream, out, ck, "0 seconds", every=every)
+        query.awaitTermination()
+        states += [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+        got = [r["clean"] for r in names.kept_names(spark, out).collect()]
+        assert len(got) == len(set(got)) and set(got) == seen
+    assert max(states) <= 1_300 < len(seen)
+
+
+def test_a_batch_run_again_keeps_the_same_names(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for k in range(3):
+        spark.range(10 * k, 10 * k + 20).selectExpr("concat('n', id) AS domain").coalesce(1).write.mode("append").parquet(src)
+    stream = lambda: spark.readStream.schema("domain string").option("maxFilesPerTrigger", 1).parquet(src)
+    names.keep_names(stream(), out, str(tmp_path / "a"), "1 day", every=2).awaitTermination()
+    once = sorted(r["clean"] for r in names.kept_names(spark, out).collect())
+    # A lost checkpoint: all batches run again over what they had written.
+    names.keep_names(stream(), out, str(tmp_path / "b"), "1 day", every=2).awaitTermination()
+    assert once == sorted(r["clean"] for r in names.kept_names(spark, out).collect()) == sorted(f"n{i}" for i in range(40))
+
+
 def test_a_plain_folder_is_one_of_the_default_file_system(spark):
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     before = conf.get("fs.defaultFS")

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from certmill.operators import jobs as jb
+from certmill.operators import jobs as jb, known as kn
 from certmill.plans.numbering import number_rows
 from certmill.schemas import EXPORT_COLUMNS, JOBS, MATCHES, SESSIONS
 
@@ -86,6 +86,45 @@ def test_known_names_are_compared_stripped(spark):
     assert ids(jb.skip_known(named, known), "domain") == ["y.com"]
 
 
+@pytest.mark.parametrize(("max_rows", "max_bytes"), [(10**6, 1 << 20), (0, 1 << 20), (0, 0)])
+def test_stored_names_give_the_same_rows(spark, monkeypatch, max_rows, max_bytes):
+    monkeypatch.setattr(kn, "MAX_BYTES", max_bytes)
+    known = spark.range(20_000).selectExpr("concat(IF(id % 3 = 0, '*.', ''), 'n', id % 15000, '.com') AS domain").unionByName(
+        spark.createDataFrame([(None,)], "domain string"))
+    names = kn.store_known(known)
+    assert names.rows == 15_000 and names.names.count() == 15_000
+    # A third of the rows are of one known name, some have none.
+    rows = spark.range(30_000).selectExpr(
+        "id", "CASE WHEN id % 3 = 0 THEN '*.n7.com' WHEN id % 100 = 1 THEN NULL ELSE concat('n', id, '.com') END AS domain"
+    ).withColumn("_clean", F.regexp_replace("domain", r"^\*\.", ""))
+    want = {i for i in range(30_000) if i % 3 and (i % 100 == 1 or i >= 15_000)}
+    assert {r.id for r in kn.without_known(rows, names, max_rows).select("id").collect()} == want
+    assert {r.id for r in kn.only_known(rows, names, max_rows).select("id").collect()} == set(range(30_000)) - want
+
+
+def test_few_new_names_pass_the_filter(spark):
+    names = kn.store_known(spark.range(5_000).selectExpr("concat('n', id, '.com') AS domain"))
+    assert names.width == 65_536
+    rows = spark.range(20_000).selectExpr("concat('n', id, '.com') AS _clean")
+    marked = kn.may_be_known(rows, names)
+    n = {r["k"]: r["c"] for r in marked.where("_maybe").groupBy(F.expr("CAST(substring(_clean, 2, length(_clean) - 5) AS INT) < 5000").alias("k")).agg(F.count("*").alias("c")).collect()}
+    assert n[True] == 5_000 and n[False] < 0.15 * 15_000
+    assert "Exchange hashpartitioning" not in marked._jdf.queryExecution().executedPlan().toString()
+    none = kn.store_known(spark.createDataFrame([], "domain string"))
+    assert none.rows == 0 and kn.without_known(rows, none, -1).count() == 20_000 and kn.only_known(rows, none, -1).count() == 0
+
+
+def test_options_without_stored_names(spark, monkeypatch):
+    certs = spark.createDataFrame(
+        [(1, [("*.a.com", "a.com"), ("b.com", "b.com")]), (2, [("b.com", "b.com")]), (3, [])],
+        "ord bigint, options array<struct<domain: string, clean: string>>",
+    )
+    known = spark.createDataFrame([("a.com",), ("*.c.com",)], "domain string")
+    plain = jb.skip_known_options(certs, known).orderBy("ord").collect()
+    assert plain == jb.skip_known_options(certs, kn.store_known(known)).orderBy("ord").collect()
+    assert [[o["clean"] for o in r["options"]] for r in plain] == [["b.com"], ["b.com"], []]
+
+
 def test_first_arrival_is_kept(spark):
     arrivals = spark.createDataFrame([match(3, 1, "a"), match(1, 1, "a", 7), match(2, 2, "a")], MATCHES)
     assert ids(jb.dedupe_matches(arrivals)) == [1, 2]

@@ -88,6 +88,75 @@ def test_certificate_files(spark, tmp_path):
         sk.write_cert_files(hits, folder, "p12")
 
 
+def test_written_names_are_joined_not_listed(spark, tmp_path):
+    folder = str(tmp_path / "certs")
+
+    def names():
+        return sorted(r["file_name"] for r in sk.written_names(spark, folder).collect())
+
+    def outcomes(first, last, **more):
+        rows = spark.range(first, last).selectExpr("id AS log_index", "cast(concat('c', id) AS binary) AS der")
+        return tuple(sk.outcome_counts(sk.write_cert_files(rows, folder, "der", **more)).first())
+
+    assert names() == [] and outcomes(0, 30) == (30, 0, 0, 0)
+    assert names() == sorted(f"{i}.der" for i in range(30))
+    # A recorded name is not looked up again, nor is its file written.
+    os.remove(f"{folder}/3.der")
+    assert outcomes(0, 32) == (2, 30, 0, 0) and not os.path.exists(f"{folder}/3.der")
+    # Files of a run that died before it recorded them, or put there by others, are found and recorded.
+    (tmp_path / "certs" / "40.der").write_bytes(b"other")
+    assert outcomes(38, 42) == (3, 1, 0, 0) and (tmp_path / "certs" / "40.der").read_bytes() == b"other"
+    assert names() == sorted(f"{i}.der" for i in [*range(32), *range(38, 42)])
+    assert outcomes(38, 42) == (0, 4, 0, 0) and len(names()) == 36
+    assert read_cert_files(spark, folder, "*.der").count() == 35
+    assert outcomes(0, 5, recheck=True) == (1, 4, 0, 0) and os.path.exists(f"{folder}/3.der") and len(names()) == 36
+
+
+def test_a_task_that_fails_leaves_manifest_and_files_in_step(spark, tmp_path):
+    folder, flag = str(tmp_path / "certs"), str(tmp_path / "failed")
+    put = sk._writer(f"file://{folder}")
+
+    def dies_once(uri):
+        def run(batches):
+            yield from put(batches)
+            if not os.path.exists(flag):
+                open(flag, "w").close()
+                raise OSError("lost after its files were written")
+        return run
+
+    rows = spark.range(20).selectExpr("id AS log_index", "cast(concat('c', id) AS binary) AS der")
+    before = sk._writer
+    sk._writer = dies_once
+    try:
+        with pytest.raises(Exception, match="lost after"):
+            sk.write_cert_files(rows, folder, "der")
+    finally:
+        sk._writer = before
+    on_disk = {f for f in os.listdir(folder) if f.endswith(".der") and not f.startswith(".")}
+    assert on_disk and sk.written_names(spark, folder).count() == 0
+    counts = sk.outcome_counts(sk.write_cert_files(rows, folder, "der")).first()
+    assert tuple(counts) == (20 - len(on_disk), len(on_disk), 0, 0)
+    assert {r["file_name"] for r in sk.written_names(spark, folder).collect()} == {f"{i}.der" for i in range(20)}
+
+
+def test_few_names_read_few_buckets(spark, tmp_path):
+    folder = str(tmp_path / "certs")
+    sk._record(spark.range(5000).selectExpr("concat(id, '.der') AS file_name"), folder)
+    known = sk.written_names(spark, folder)
+    assert known.select("bucket").distinct().count() == sk.NAME_BUCKETS
+    some = spark.createDataFrame([("7.der",), ("no.der",)], "file_name string")
+    assert [tuple(r) for r in sk._present(some, f"file://{folder}").collect()] == [("7.der", True)]
+    plan = known.where(F.col("bucket").isin([1, 2]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket#" in plan
+
+
+def test_rows_without_name_or_bytes_fail(spark, tmp_path):
+    rows = spark.createDataFrame([(None, b"a"), ("x", None), ("y", b"1"), ("y", b"2"), ("z", b"3"), ("z", b"3")], "file_name string, der binary")
+    out = {r.file_name: r.outcome for r in sk.write_cert_files(rows, str(tmp_path / "c"), "der").collect()}
+    assert out == {None: "failed", "x": "failed", "y": "conflict", "z": "written"}
+    assert sk.outcome_counts(sk.write_cert_files(rows.limit(0), str(tmp_path / "d"), "der")).first()["written"] == 0
+
+
 def test_backfill_takes_bytes_from_the_entries(spark, dump_file, tmp_path):
     matches = spark.createDataFrame([(1, 5, 7, "a"), (2, 5, 7, "b"), (3, 5, 9, "c"), (4, 5, 100, "d")], "id bigint, job_id bigint, log_index bigint, domain string")
     rows = sk.backfill_rows(jb.job_log_indices(matches, 5), en.decode_entries(read_dump(spark, dump_file)))

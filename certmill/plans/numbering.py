@@ -11,31 +11,30 @@ from certmill.session import stored
 def number_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Add ``index``, the 1-based number of a row in the order of ``keys``.
 
-    Rows are range partitioned and sorted; each counts from its partition's
-    start, and the partitions' sizes, a few thousand numbers, give the starts.
-    The sorted rows are stored, so both reads see the same partitions.
+    Rows are range partitioned, sorted and stored once, a file for each range. A
+    row's number is its place in its file behind the rows of the files before it;
+    the sizes of the files come from their footers, so the rows are read once.
     """
-    numbered = stored(
-        rows.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_at", F.monotonically_increasing_id()),
-        "numbered",
-    )
-    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = numbered.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    ranges = stored(rows.repartitionByRange(*keys).sortWithinPartitions(*keys), "numbered")
+    meta = ranges.metadataColumn("_metadata")
+    placed = ranges.select("*", meta["file_name"].alias("_file"), meta["row_index"].alias("_row"))
+    # One row for each file, as many as the shuffle has partitions: safe to broadcast.
+    sizes = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    # Fixed value: how Spark names the files of a task, ``part-<task>-<id>-c<number>``.
+    task, number = (F.regexp_extract("_file", "^part-([0-9]+)-.*-c([0-9]+)", i).cast("int") for i in (1, 2))
+    before = W.orderBy(task, number).rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     return (
-        lookup_join(numbered.withColumn("_p", part), starts, "_p", "inner")
-        .withColumn("index", F.col("_base") + place + 1)
-        .drop("_p", "_at", "_base")
+        placed.join(F.broadcast(starts), "_file")
+        .withColumn("index", F.col("_base") + F.col("_row") + 1)
+        .drop("_file", "_row", "_base")
     )
 
 
 def number_within(rows: DataFrame, group: str, keys: list[str], name: str) -> DataFrame:
     """Add ``name``, the 1-based number of a row within its group; a huge group is many ranges."""
     numbered = number_rows(rows, [group, *keys])
-    first = numbered.groupBy(group).agg(F.min("index").alias("_first"))
+    first = stored(numbered.groupBy(group).agg(F.min("index").alias("_first")), "first-in-group")
     return (
         lookup_join(numbered, first, group, "inner")
         .withColumn(name, F.col("index") - F.col("_first") + 1)

@@ -191,3 +191,24 @@ def test_old_tables_get_the_missing_column(tables):
 def test_union_of_known_names(tables):
     m, j, _ = tables
     assert ids(jb.known_union(jb.job_known(m, 4), jb.session_known(m, j, 1)), "domain") == ["a.com", "b.com", "z.com"]
+
+
+def test_rows_are_numbered_with_one_sort_and_one_read(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(3000).selectExpr("id", "pmod(hash(id), 700) AS k", "id AS _metadata", "'u' AS _x")
+    numbered = number_rows(df, ["k", "id"])
+    want = [r["id"] for r in sorted(df.collect(), key=lambda r: (r["k"], r["id"]))]
+    got = sorted((r["index"], r["id"], r["_metadata"]) for r in numbered.collect())
+    assert got == [(n + 1, i, i) for n, i in enumerate(want)]
+    plan = numbered.select("*")._jdf.queryExecution().executedPlan().toString()
+    # The sizes are read from footers: that scan has no column.
+    assert plan.count("FileScan parquet") == 2 and plan.count("ReadSchema: struct<>") == 1
+    before = spark.conf.get("spark.sql.files.maxRecordsPerFile")
+    try:
+        spark.conf.set("spark.sql.files.maxRecordsPerFile", 90)
+        cut = number_rows(df.select("k", "id"), ["k", "id"])
+    finally:
+        spark.conf.set("spark.sql.files.maxRecordsPerFile", before)
+    assert [r["id"] for r in cut.orderBy("index").collect()] == want
+    assert cut.agg(F.max("index"), F.count_distinct("index")).first() == (3000, 3000)

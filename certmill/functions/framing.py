@@ -154,32 +154,47 @@ def pem_to_der(raw: Column) -> Column:
 def _walk_scts(blob: Column) -> Column:
     """The parts of a timestamp list, where the walk ended, and how many parts were too short.
 
-    A serialized timestamp has at least 47 bytes, which bounds the walk; a shorter
-    part is stepped over.
+    A part is its 1-based number ``no`` in the list and its bytes ``sct``. A serialized
+    timestamp has at least 47 bytes, which bounds the walk; a shorter part is
+    stepped over, and the parts behind it keep their numbers. Only a list with short
+    parts, which may be of two bytes each, is walked on beyond that bound.
     """
     total = F.length(blob)
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), (total / 49).cast("int") + 1))
+
+    def steps(width: int) -> Column:
+        return F.sequence(F.lit(1), F.greatest(F.lit(1), (total / width).cast("int") + 1))
+
     start = F.struct(
-        F.lit(3).alias("at"), F.array().cast("array<binary>").alias("items"), F.lit(0).alias("short")
+        F.lit(3).alias("at"), F.array().cast("array<struct<no:int,sct:binary>>").alias("items"), F.lit(0).alias("short")
     )
 
     def step(state: Column, _: Column) -> Column:
         at = state["at"]
         size = F.coalesce(_uint(blob, at, 2).cast("int"), F.lit(0))
         inside = (at + 1 <= total) & (at + 1 + size <= total)
+        part = F.struct(
+            (F.size(state["items"]) + state["short"] + 1).alias("no"), F.substring(blob, at + 2, size).alias("sct")
+        )
         return F.struct(
             F.when(inside, at + 2 + size).otherwise(at).alias("at"),
-            F.when(
-                inside & (size >= 47), F.concat(state["items"], F.array(F.substring(blob, at + 2, size)))
-            ).otherwise(state["items"]).alias("items"),
+            F.when(inside & (size >= 47), F.concat(state["items"], F.array(part))).otherwise(state["items"]).alias("items"),
             (state["short"] + (inside & (size < 47)).cast("int")).alias("short"),
         )
 
-    return F.aggregate(steps, start, step)
+    def walk_on(walked: Column) -> Column:
+        unfinished = (walked["short"] > 0) & (walked["at"] < total + 1)
+        return F.aggregate(F.when(unfinished, steps(2)).otherwise(F.array().cast("array<int>")), walked, step)
+
+    return F.transform(F.array(F.aggregate(steps(49), start, step)), walk_on)[0]
 
 
 def split_scts(blob: Column) -> Column:
     """The serialized timestamps of a list: 2-byte total, then 2-byte length and bytes each."""
+    return _walk_scts(blob)["items"]["sct"]
+
+
+def numbered_scts(blob: Column) -> Column:
+    """As :func:`split_scts`, each with ``no``, its place in the list, in which short parts count."""
     return _walk_scts(blob)["items"]
 
 

@@ -12,17 +12,22 @@ from certmill.schemas import DASH
 
 
 def explode_scts(lists: DataFrame, blob: str = "sct_list", tag: str = "extension") -> DataFrame:
-    """One row per timestamp of a serialized list, with its 1-based ``ordinal``."""
-    sct = F.col("_sct")
+    """One row per timestamp of a serialized list, with its 1-based ``ordinal`` in the list.
+
+    Parts too short for a timestamp have no row but keep their ordinal; :func:`broken_lists` names their lists.
+    ``timestamp`` is empty for instants after the year 9999.
+    """
+    sct = F.col("_part.sct")
+    ms = fr.sct_millis(sct)
     keep = [c for c in lists.columns if c not in (blob, tag)]
     return lists.select(
-        *keep, tag, F.posexplode(fr.split_scts(F.col(blob))).alias("_pos", "_sct")
+        *keep, tag, F.explode(fr.numbered_scts(F.col(blob))).alias("_part")
     ).select(
         *keep,
-        (F.col("_pos") + 1).alias("ordinal"),
+        F.col("_part.no").alias("ordinal"),
         fr.sct_log_id(sct).alias("log_id_b64"),
-        fr.sct_millis(sct).alias("timestamp_ms"),
-        format_utc(F.timestamp_millis(fr.sct_millis(sct))).alias("timestamp"),
+        ms.alias("timestamp_ms"),
+        format_utc(F.timestamp_millis(F.when(ms.between(0, fr.MAX_MILLIS), ms))).alias("timestamp"),
         fr.sct_version(sct).alias("version"),
         fr.sct_hash(sct).alias("hash_algorithm"),
         F.col(tag).alias("extension"),

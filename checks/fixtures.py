@@ -239,6 +239,16 @@ class Fixtures:
             )
         )
 
+    def torn_sct_lists(self) -> DataFrame:
+        """Four in five lists broken or empty: wrong total, a short part ahead, cut by three bytes, no timestamp."""
+        return self.sct_lists().selectExpr("cert_id", "hex(sct_list) AS h", "extension").selectExpr(
+            "cert_id",
+            "unhex(CASE cert_id % 5 WHEN 1 THEN concat('FFFF', substring(h, 5)) "
+            "WHEN 2 THEN concat(lpad(hex(length(h) div 2 + 5), 4, '0'), '0005', '0102030405', substring(h, 5)) "
+            "WHEN 3 THEN substring(h, 1, length(h) - 6) WHEN 4 THEN '0000' ELSE h END) AS sct_list",
+            "extension",
+        )
+
     # --- roots ---------------------------------------------------------------------------
 
     def log_roots(self) -> DataFrame:

@@ -94,6 +94,10 @@ TABLES: dict[str, tuple[list[str], str]] = {
         FROM (SELECT DISTINCT l_orderkey AS cert_id,
           (CASE WHEN l_linenumber = 7 THEN 'other-' ELSE 'log-' END) || l_suppkey AS log_key, l_suppkey,
           epoch_us(l_shipdate) // 1000 AS ms FROM lineitem)"""),
+    "torn_scts": (["scts"], """
+        SELECT * REPLACE (ordinal + CASE WHEN cert_id % 5 = 2 THEN 1 ELSE 0 END AS ordinal) FROM (
+          SELECT *, max(ordinal) OVER (PARTITION BY cert_id) AS parts FROM scts)
+        WHERE cert_id % 5 <> 4 AND NOT (cert_id % 5 = 3 AND ordinal = parts)"""),
     "log_index_": (["logs"], """
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY pos DESC) AS rn FROM logs) WHERE rn = 1"""),
     "log_roots": ([], """

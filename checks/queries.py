@@ -388,6 +388,22 @@ def _(x):
     return sc.explode_scts(x.sct_lists()).withColumn("ordinal", F.col("ordinal").cast("bigint"))
 
 
+@query("sct_list_errors", with_("scts") + """
+SELECT DISTINCT cert_id, CASE WHEN cert_id % 2 = 0 THEN 'precert_scts' ELSE 'embedded_scts' END AS extension,
+  CASE WHEN cert_id % 5 = 2 THEN 'bad_length' ELSE 'length_mismatch' END AS error
+FROM scts WHERE cert_id % 5 IN (1, 2, 3)""")
+def _(x):
+    return sc.broken_lists(x.torn_sct_lists())
+
+
+@query("sct_list_torn", with_("torn_scts") + """
+SELECT cert_id, ordinal, log_id_b64, ms AS timestamp_ms FROM torn_scts""")
+def _(x):
+    return sc.explode_scts(x.torn_sct_lists()).select(
+        "cert_id", F.col("ordinal").cast("bigint").alias("ordinal"), "log_id_b64", "timestamp_ms"
+    )
+
+
 @query("san_fallback", with_("certs") + """
 SELECT log_uri, log_index, array_to_string(san, ';') AS san FROM certs""")
 def _(x):
@@ -844,6 +860,15 @@ def _(x):
     return sc.sct_summary(sc.lookup_scts(sc.explode_scts(x.sct_lists()), x.log_entries()))
 
 
+@query("sct_summary_all", with_("torn_scts", "logs") + """
+SELECT c.cert_id, count(t.cert_id) AS total, count(*) FILTER (t.log_id_b64 IN (SELECT log_id FROM logs)) AS matched,
+  count(*) FILTER (t.log_id_b64 NOT IN (SELECT log_id FROM logs)) AS unknown
+FROM (SELECT DISTINCT cert_id FROM scts) c LEFT JOIN torn_scts t ON t.cert_id = c.cert_id GROUP BY c.cert_id""")
+def _(x):
+    lists = x.torn_sct_lists()
+    return sc.sct_summary(sc.lookup_scts(sc.explode_scts(lists), x.log_entries()), lists)
+
+
 @query("root_summary", with_("coverage") + """
 SELECT count(*) FILTER (has_root = 'yes') AS present, count(*) FILTER (has_root = 'no') AS missing,
   count(*) FILTER (has_root = 'error') AS errors, count(*) AS total FROM coverage""")

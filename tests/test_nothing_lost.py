@@ -48,6 +48,15 @@ def test_broken_timestamp_lists_are_named_and_walked_to_the_end(spark):
     assert {r.cert_id: r.error for r in scts.broken_lists(df).collect()} == {1: "bad_length", 2: "length_mismatch", 3: "bad_length"}
 
 
+def test_timestamps_behind_a_short_part_keep_their_ordinal(spark):
+    body = sct(50) + sct(5) + sct(0) + sct(60)
+    df = spark.createDataFrame([(1, struct.pack(">H", len(body)) + body, "ext")], "cert_id bigint, sct_list binary, extension string")
+    rows = scts.explode_scts(df).collect()
+    assert sorted(r.ordinal for r in rows) == [1, 4]
+    # Their bytes say an instant that no calendar holds; it must not end the job.
+    assert {(r.timestamp, r.timestamp_ms > 10**17) for r in rows} == {("", True)}
+
+
 def test_certificates_without_timestamps_are_summed_to_zero(spark):
     looked = spark.createDataFrame([(1, True), (1, False)], "cert_id bigint, matched boolean")
     certs = spark.createDataFrame([(1,), (2,)], "cert_id bigint")

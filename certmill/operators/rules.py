@@ -20,27 +20,48 @@ _FACTS = {c: c for c in (
     "dns_status", "dns_rcode", "dns_flags", "dns_exists", "is_nxdomain", "is_dnssec_secure", "is_dnssec_insecure",
     "psl_public_suffix", "psl_section", "is_icann_domain",
 )} | {"is_br_icann_psl_domain": "is_icann_domain"}
-_FACT_CALL = re.compile(rf"\b({'|'.join(_FACTS)})\s*\(\s*domain\s*\)", re.IGNORECASE)
-_STRIP_CALL = re.compile(r"\bstrip_wildcard\s*\(\s*([\w.]+)\s*\)", re.IGNORECASE)
+_QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`")
+_INNERMOST = re.compile(r"(\b\w+)?(\s*)\(([^()]*)\)")
+_HELD = re.compile("\x01([0-9]+)\x02")
 
 
 def predicate_text(text: str) -> str:
     """The predicate without a leading ``WHERE``, with known calls under built-in names.
 
-    ``matches`` and ``strip_wildcard`` become Spark's own functions, which also work
-    inside arrays, where a SQL function does not; facts in call form, such as
-    ``is_nxdomain(domain)``, become the joined columns. Quoted text is left alone.
+    ``matches``, ``strip_wildcard`` and ``dns_has_flag`` become Spark's own functions,
+    which also work inside arrays, where a SQL function does not, whatever expressions
+    they are called with; facts in call form, such as ``is_nxdomain(domain)``, become the
+    joined columns. Quoted text is left alone.
     """
-    bare = re.sub(r"^\s*where\s+", "", text, flags=re.IGNORECASE).strip()
-    parts = re.split(r"('(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\")", bare)
-    parts[::2] = [_plain(p) for p in parts[::2]]
-    return "".join(parts)
-
-
-def _plain(code: str) -> str:
-    code = re.sub(r"\bmatches\s*\(", "regexp_like(", code, flags=re.IGNORECASE)
-    code = _STRIP_CALL.sub(r"regexp_replace(\1, '^[*][.]', '')", code)
-    return _FACT_CALL.sub(lambda m: _FACTS[m[1].lower()], code)
+    held: list[str] = []
+
+    def hold(code: str) -> str:
+        held.append(code)
+        return f"\x01{len(held) - 1}\x02"
+
+    code = re.sub(r"^\s*where\s+", "", text, flags=re.IGNORECASE).strip()
+    code = _QUOTED.sub(lambda m: hold(m[0]), code)
+    # Calls are replaced from the inside out; a finished one is held under its number.
+    while m := _INNERMOST.search(code):
+        code = code[: m.start()] + hold(_plain_call(m)) + code[m.end():]
+    while m := _HELD.search(code):
+        code = code[: m.start()] + held[int(m[1])] + code[m.end():]
+    return code
+
+
+def _plain_call(call: re.Match) -> str:
+    """One call without further parentheses, under a built-in name."""
+    name, inside = (call[1] or "").lower(), call[3]
+    if name in _FACTS and inside.strip().lower() == "domain":
+        return _FACTS[name]
+    if name == "matches":
+        return f"regexp_like({inside})"
+    if name == "strip_wildcard" and "," not in inside:
+        return f"regexp_replace({inside.strip()}, '^[*][.]', '')"
+    if name == "dns_has_flag" and inside.count(",") == 1:
+        flags, flag = (part.strip() for part in inside.split(","))
+        return f"array_contains(split(lower(array_join({flags}, ' ')), ' '), lower({flag}))"
+    return call[0]
 
 
 def predicate(text: str) -> Column:

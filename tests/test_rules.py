@@ -2,6 +2,7 @@ import json
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from certmill.operators import rules as rl, scan
 from certmill.sources.rules import read_rules
@@ -40,6 +41,24 @@ def test_quoted_text_is_left_alone():
     assert rl.predicate_text("  WHERE x = 1") == "x = 1"
 
 
+def test_calls_of_any_expression_work_inside_arrays(spark, named):
+    text = rl.predicate_text
+    assert text("STRIP_WILDCARD( lower(trim(domain)) ) = ')('") == "regexp_replace(lower(trim(domain)), '^[*][.]', '') = ')('"
+    assert text("a IN (1, (2)) AND (b OR matches(strip_wildcard(d), '(x)'))") == (
+        "a IN (1, (2)) AND (b OR regexp_like(regexp_replace(d, '^[*][.]', ''), '(x)'))")
+    assert text("`strip_wildcard(a)` = concat(b, 'it''s (') AND is_nxdomain(DOMAIN)") == "`strip_wildcard(a)` = concat(b, 'it''s (') AND is_nxdomain"
+    assert text("unbalanced((a)") == "unbalanced((a)" and text("is_nxdomain(other)") == "is_nxdomain(other)"
+    certs = named.groupBy("log_index").agg(F.collect_list("domain").alias("san")).withColumn("flags", F.expr("array('QR', 'AD')"))
+
+    def kept(predicate):
+        found = certs.select(F.explode(F.expr(f"filter(san, domain -> {text(predicate)})")).alias("domain"))
+        return names(found)
+
+    assert kept("strip_wildcard(lower(concat(domain, ''))) = 'b.cn'") == ["*.b.cn"]
+    assert kept("dns_has_flag(flags, lower('AD')) AND endswith(strip_wildcard(upper(domain)), '.COM')") == ["c.com", "x_y.com"]
+    assert kept("NOT dns_has_flag(flags, 'qr')") == []
+
+
 def test_first_true_rule_names_the_hit(named):
     rules = rl.combine("domain = 'c.com'", [("it's com", "endswith(domain, '.com')"), ("cn", "domain LIKE '%.cn'")])
     got = {r["domain"]: r["rule_name"] for r in rl.first_rule(named, rules).collect()}

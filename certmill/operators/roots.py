@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, functions as F
 
 from certmill.functions import framing as fr
-from certmill.operators.loglist import slash_url
+from certmill.operators.loglist import contact_map, slash_url
 from certmill.plans.joins import lookup_join
 from certmill.plans.numbering import number_within
 from certmill.schemas import DASH
@@ -67,6 +67,18 @@ def root_summary(coverage: DataFrame) -> DataFrame:
     )
 
 
+def coverage_report(coverage: DataFrame, operators: DataFrame, failures: DataFrame) -> DataFrame:
+    """The coverage table with ``contact``, the operator's addresses, and ``note``, why a log gave no answer.
+
+    ``failures`` has ``log_url`` and ``note`` of requests that failed; of several for a log
+    the greatest is shown, its first 80 characters. Logs that answered have an empty note.
+    """
+    told = failures.groupBy(slash_url(F.col("log_url")).alias("_url")).agg(F.max("note").alias("note"))
+    noted = lookup_join(contact_map(coverage, operators).withColumn("_url", slash_url(F.col("url"))), told, "_url")
+    note = F.when(F.col("has_root") == "error", F.substring("note", 1, 80))
+    return noted.select(*coverage.columns, "contact", F.coalesce(note, F.lit("")).alias("note"))
+
+
 def roots_by_log(logs: DataFrame, log_roots: DataFrame, subjects: DataFrame) -> DataFrame:
     """Every root of every listed log with its subject, numbered within the log.
 

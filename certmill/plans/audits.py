@@ -208,6 +208,22 @@ def resume_scan(
     return hits.withColumn("job_id", F.lit(row["id"]).cast("bigint"))
 
 
+def hit_certificates(hits: DataFrame, certs: DataFrame) -> DataFrame:
+    """``log_uri``, ``log_index`` and ``der`` of the hits' certificates, to be written by ``write_cert_files``.
+
+    Scans leave the bytes out, so that they shuffle none; they are read back for the
+    hits alone. The hits' index span in each log bounds the read, and reaches the
+    partitions and statistics of the table.
+    """
+    keys = ["log_uri", "log_index"]
+    wanted = stored(hits.select(*keys).distinct(), "hit-keys")
+    spans = wanted.groupBy("log_uri").agg(F.min("log_index").alias("lo"), F.max("log_index").alias("hi")).collect()
+    bound = F.lit(False)
+    for r in spans:  # one row for each log with a hit
+        bound = bound | ((F.col("log_uri") == r["log_uri"]) & F.col("log_index").between(r["lo"], r["hi"]))
+    return lookup_join(certs.where(bound).select(*keys, "der"), wanted, keys, "left_semi")
+
+
 def parse_dump(spark, path: str, fields: DataFrame) -> DataFrame:
     """The twelve parsed columns of a dump; ``fields`` holds certificate fields by fingerprint."""
     return parsed_rows(decode_entries(read_dump(spark, path)), fields)

@@ -257,6 +257,17 @@ class Fixtures:
             "cast(concat(CASE WHEN l_linenumber = 7 THEN 'alt-root-' ELSE 'root-' END, l_partkey) AS binary) AS der",
         ).distinct()
 
+    def root_failures(self) -> DataFrame:
+        """Why requests for roots failed; some logs failed once and answered later."""
+        return self.table("supplier").where("s_suppkey % 4 <> 3").selectExpr(
+            "CASE WHEN s_suppkey % 13 = 12 THEN '' ELSE concat('https://log', s_suppkey, '.example') END AS log_url",
+            "concat('timed out after ', lpad(s_suppkey, 6, '0'), ' ', repeat('.', 90)) AS note",
+        )
+
+    def some_log_roots(self) -> DataFrame:
+        """Roots of two logs in three; the others gave no answer."""
+        return self.log_roots().where("cast(regexp_extract(log_url, 'log([0-9]+)', 1) AS bigint) % 3 <> 1")
+
     def subjects(self) -> DataFrame:
         return self.table("part").selectExpr(
             "sha2(cast(concat('root-', p_partkey) AS binary), 256) AS fingerprint",

@@ -735,6 +735,24 @@ def _(x):
     )
 
 
+@query("root_report", with_("logs", "log_roots", "ops") + """
+, answers AS (SELECT slash_url, count(*) AS n, bool_or(der_text = 'root-7') AS has FROM log_roots
+  WHERE CAST(regexp_extract(slash_url, 'log([0-9]+)', 1) AS BIGINT) % 3 <> 1 GROUP BY slash_url),
+told AS (SELECT CASE WHEN s_suppkey % 13 = 12 THEN '' ELSE 'https://log' || s_suppkey || '.example/' END AS slash_url,
+    max('timed out after ' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || ' ' || repeat('.', 90)) AS note
+  FROM supplier WHERE s_suppkey % 4 <> 3 GROUP BY ALL)
+SELECT l.operator, CASE WHEN len(o.emails) > 0 THEN array_to_string(o.emails, ', ') ELSE '—' END AS contact,
+  l.description, l.state, CASE WHEN r.n IS NULL THEN 'error' WHEN r.has THEN 'yes' ELSE 'no' END AS has_root,
+  coalesce(CAST(r.n AS VARCHAR), '—') AS roots, CASE WHEN r.n IS NULL THEN coalesce(left(t.note, 80), '') ELSE '' END AS note
+FROM logs l LEFT JOIN answers r ON r.slash_url = l.slash_url LEFT JOIN told t ON t.slash_url = l.slash_url
+  LEFT JOIN ops o ON o.name = l.operator""")
+def _(x):
+    coverage = rt.root_coverage(x.ct_logs(), x.some_log_roots(), TARGET_ROOT)
+    return rt.coverage_report(coverage, x.operators(), x.root_failures()).select(
+        "operator", "contact", "description", "state", "has_root", "roots", "note"
+    )
+
+
 @query("root_missing", with_("coverage") + "SELECT operator, description FROM coverage WHERE has_root = 'no'")
 def _(x):
     return rt.root_missing(rt.root_coverage(x.ct_logs(), x.log_roots(), TARGET_ROOT)).select("operator", "description")
@@ -949,6 +967,18 @@ def _(x):
     return flagship(x)
 
 
+@query("save_hits", with_("expanded", "placed", "raw_certs") + f"""
+SELECT 'log' || (o_orderkey % 4) || '.example-' || h.log_index || '.pem' AS file_name,
+  CASE WHEN der_text IS NULL THEN 'failed' ELSE 'written' END AS outcome FROM (
+  SELECT f.log_uri, f.log_index FROM (
+    SELECT *, row_number() OVER (PARTITION BY log_uri, log_index ORDER BY pos) AS rn FROM expanded WHERE {_SLICE}) f
+  JOIN placed p USING (log_uri, log_index) WHERE rn = 1
+  ORDER BY f.log_uri, p.scan_batch, f.log_index LIMIT 100) h
+JOIN raw_certs c ON c.log_index = h.log_index AND h.log_uri = 'https://log' || (o_orderkey % 4) || '.example/'""")
+def _(x):
+    return sk.write_cert_files(pl.hit_certificates(flagship(x), x.certs()), new_table_path(x.spark, "hit-certs"))
+
+
 def flagship(x: Fixtures) -> DataFrame:
     """Scan for a predicate with a target: first passing name per certificate, in scan order."""
     opts = pl.ScanOptions(query=_SLICE, batch_size=BATCH, target=100)

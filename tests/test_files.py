@@ -150,6 +150,21 @@ def test_few_names_read_few_buckets(spark, tmp_path):
     assert "PartitionFilters: [bucket#" in plan
 
 
+def test_certificates_of_hits_are_read_back(spark, tmp_path):
+    rows = spark.range(400).selectExpr(
+        "IF(id % 2 = 0, 'https://a/', 'https://b/') AS log_uri", "id div 2 AS log_index", "IF(id = 102, NULL, cast(concat('c', id) AS binary)) AS der")
+    rows.unionByName(rows).repartition("log_uri").write.partitionBy("log_uri").parquet(str(tmp_path / "certs"))
+    certs = spark.read.parquet(str(tmp_path / "certs"))
+    hits = spark.createDataFrame([("https://a/", 50), ("https://a/", 51), ("https://a/", 51), ("https://a/", 60)], "log_uri string, log_index bigint")
+    found = pl.hit_certificates(hits, certs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(log_index,50)" in plan and "LessThanOrEqual(log_index,60)" in plan and "(log_uri#" in plan
+    out = {r.file_name: r.outcome for r in sk.write_cert_files(found, str(tmp_path / "out"), "der").collect()}
+    assert out == {"a-50.der": "written", "a-51.der": "failed", "a-60.der": "written"}
+    assert (tmp_path / "out" / "a-60.der").read_bytes() == b"c120"
+    assert pl.hit_certificates(hits.limit(0), certs).count() == 0
+
+
 def test_rows_without_name_or_bytes_fail(spark, tmp_path):
     rows = spark.createDataFrame([(None, b"a"), ("x", None), ("y", b"1"), ("y", b"2"), ("z", b"3"), ("z", b"3")], "file_name string, der binary")
     out = {r.file_name: r.outcome for r in sk.write_cert_files(rows, str(tmp_path / "c"), "der").collect()}

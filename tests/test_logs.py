@@ -156,6 +156,15 @@ def test_roots(spark, tmp_path, logs):
     assert {r["description"] for r in rt.root_missing(cover).collect()} == {"h2", "open"}
     assert {r["description"] for r in rt.hide_present(cover).collect()} == {"h2", "open", "bad", "blank"}
     assert tuple(rt.root_summary(cover).first()) == (1, 2, 2, 5)
+    ops = spark.createDataFrame([("G", ["a@g", "b@g"])], "name string, emails array<string>")
+    failed = spark.createDataFrame([("https://h1/", "late"), ("https://bad/", "x" * 200), ("https://bad", None)], "log_url string, note string")
+    report = rt.coverage_report(cover, ops, failed)
+    bad = logs.where("description = 'bad'").first()["url"]
+    assert report.columns == [*cover.columns, "contact", "note"] and report.count() == 5
+    notes = {r["description"]: r["note"] for r in rt.coverage_report(
+        cover, ops, failed.unionByName(spark.createDataFrame([(bad, "y" * 200)], "log_url string, note string"))).collect()}
+    assert notes["bad"] == "y" * 80 and notes["h1"] == notes["open"] == ""
+    assert {r["contact"] for r in report.collect()} == {"a@g, b@g", "—"}
     subjects = spark.createDataFrame([(rt.target_fingerprint(der=b"one"), "One CA", "One")], "fingerprint string, subject_cn string, subject_org string")
     listed = {(r["description"], r["root_no"]): r["subject_cn"] for r in rt.roots_by_log(logs, roots, subjects).collect()}
     assert listed == {("h1", 1): "One CA", ("h1", 2): "?", ("h2", 1): "?"}

@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 MAX_ROWS = 500_000
 MAX_BYTES = 64 << 20
 
-# A key is hot when it holds more than one row in this many.
+# A key is hot when it holds more than one row in this many, so there are at most as many hot keys.
 HOT_SHARE = 1000
-HOT_KEYS = 256
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
@@ -32,13 +31,13 @@ def fits_broadcast(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX
 
 
 def _hot_hashes(df: DataFrame, keys: list[str]) -> list[int]:
-    """Hashes of the keys that hold a large share of the rows, at most ``HOT_KEYS`` of them.
+    """Hashes of all keys that hold a large share of the rows.
 
     An approximate sketch is enough: it decides where rows are processed, not
     which rows there are.
     """
     found = df.select(F.xxhash64(*keys).alias("h")).agg(
-        F.expr(f"approx_top_k(h, {HOT_KEYS}, {16 * HOT_KEYS})").alias("top"), F.count(F.lit(1)).alias("n")
+        F.expr(f"approx_top_k(h, {HOT_SHARE}, {16 * HOT_SHARE})").alias("top"), F.count(F.lit(1)).alias("n")
     ).first()
     if not found["n"]:
         return []

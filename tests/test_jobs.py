@@ -212,3 +212,15 @@ def test_rows_are_numbered_with_one_sort_and_one_read(spark):
         spark.conf.set("spark.sql.files.maxRecordsPerFile", before)
     assert [r["id"] for r in cut.orderBy("index").collect()] == want
     assert cut.agg(F.max("index"), F.count_distinct("index")).first() == (3000, 3000)
+
+
+def test_all_hot_keys_are_spread(spark):
+    from certmill.plans import joins
+
+    # 600 keys with 250 rows each, far above the share, beside 3,000 rare ones.
+    big = spark.range(150_000).selectExpr("id % 600 AS k").unionByName(spark.range(1000, 4000).selectExpr("id AS k"))
+    assert len(joins._hot_hashes(big, ["k"])) == 600
+    other = spark.range(500, 4000).selectExpr("id AS k", "-id AS v")
+    for how in ("left", "left_anti"):
+        got, want = joins.spread_join(big, other, ["k"], how), big.join(other, "k", how)
+        assert got.exceptAll(want).count() == 0 and got.count() == want.count()

@@ -111,23 +111,29 @@ def pack(
     its own bucket size. ``batch`` counts from 0 within a bucket. Null ids come
     first, repeated rows are rows of their own, an empty table has no batches. The columns ``keep`` of
     ``docs`` follow under their names, which must not be those above; rows of a batch then lie together.
+
+    Rows are numbered without the kept columns, since a range of rows has no bound in bytes
+    (all long texts share a bucket); these meet their numbers by a row key and are dealt by batch, which has one.
     """
     size = word_count(F.col("text")) if length is None else length
     kept = F.struct(*[F.col(c) for c in keep]).alias("kept")
-    lengths = stored(docs.select(F.col(doc_id).alias("doc_id"), size.alias("n_tokens"), *[kept][: len(keep)]), "lengths")
+    key = F.monotonically_increasing_id().alias("row")
+    lengths = stored(docs.select(F.col(doc_id).alias("doc_id"), size.alias("n_tokens"), *([kept, key] if keep else [])), "lengths")
     bounds = best_boundaries(length_histogram(lengths, opts.cells), opts.buckets) or [0]
     ends = F.array(*[F.lit(b).cast("long") for b in bounds])
     bucket = F.size(F.filter(ends, lambda b: b < F.col("n_tokens")))
-    placed = lengths.withColumn("bucket", bucket)
+    placed = lengths.drop("kept").withColumn("bucket", bucket)
     numbered = number_within(placed, "bucket", ["doc_id", "n_tokens"], "no")
     padded = F.element_at(ends, F.col("bucket") + 1)
     fits = F.greatest(F.lit(1), F.expr(f"{opts.budget} div greatest(padded_to, 1)"))
-    return (
+    batches = (
         numbered.withColumn("padded_to", padded)
         .withColumn("batch_capacity", fits.cast("long"))
-        .select(
-            "doc_id", "n_tokens", "bucket", "padded_to",
-            F.expr("(no - 1) div batch_capacity").alias("batch"),
-            ((F.col("no") - 1) % F.col("batch_capacity")).alias("slot"), "batch_capacity", *[f"kept.{c}" for c in keep],
-        )
+        .withColumn("batch", F.expr("(no - 1) div batch_capacity"))
+        .withColumn("slot", (F.col("no") - 1) % F.col("batch_capacity"))
     )
+    shown = ["doc_id", "n_tokens", "bucket", "padded_to", "batch", "slot", "batch_capacity"]
+    if not keep:
+        return batches.select(*shown)
+    whole = lengths.select("row", "kept").join(batches.select("row", *shown), "row")
+    return whole.repartition("bucket", "batch").select(*shown, *[f"kept.{c}" for c in keep])

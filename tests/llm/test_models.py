@@ -201,3 +201,16 @@ def test_top_products_equal_brute_force(spark, scale):
     assert got == brute(rows, 7)
     none = v.filter("false")
     assert topk.top_products(none, none).count() == 0
+
+
+def test_kept_columns_meet_their_rows_and_batches_lie_together(spark):
+    rows = [(None, "a"), (1, ""), (1, ""), (2, None), (3, "w " * 700)] + [(i, f"t{i} " * (1 + i % 9)) for i in range(10, 400)]
+    docs = spark.createDataFrame([(i, t, f"k{n}", n) for n, (i, t) in enumerate(rows)], "doc_id bigint, text string, kept string, row int")
+    packed = packing.pack(docs, packing.PackOptions(buckets=4, budget=60), keep=["text", "kept", "row"])
+    plain = packing.pack(docs, packing.PackOptions(buckets=4, budget=60))
+    placed = packed.select(F.spark_partition_id().alias("p"), "*").collect()
+    assert sorted((r.row, r.kept, r.doc_id, r.text) for r in placed) == [(n, f"k{n}", i, t) for n, (i, t) in enumerate(rows)]
+    assert all(r.n_tokens == len((r.text or "").split()) for r in placed)
+    assert packed.select(*plain.columns).exceptAll(plain).count() == 0
+    assert len({(r.bucket, r.batch) for r in placed}) == len({(r.bucket, r.batch, r.p) for r in placed})
+    assert packing.pack(docs.limit(0), keep=["text"]).count() == 0

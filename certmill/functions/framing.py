@@ -151,41 +151,49 @@ def pem_to_der(raw: Column) -> Column:
     return F.when(F.contains(text, F.lit("-----BEGIN")), packed).otherwise(raw)
 
 
-def _walk_scts(blob: Column) -> Column:
+def _walk_scts(blob: Column, items: bool = True) -> Column:
     """The parts of a timestamp list, where the walk ended, and how many parts were too short.
 
     A part is its 1-based number ``no`` in the list and its bytes ``sct``. A serialized
     timestamp has at least 47 bytes, which bounds the walk; a shorter part is
     stepped over, and the parts behind it keep their numbers. Only a list with short
-    parts, which may be of two bytes each, is walked on beyond that bound.
+    parts, which may be of two bytes each, is walked on beyond that bound. Without ``items``
+    the parts are passed over, not cut out.
     """
     total = F.length(blob)
 
     def steps(width: int) -> Column:
         return F.sequence(F.lit(1), F.greatest(F.lit(1), (total / width).cast("int") + 1))
 
-    start = F.struct(
-        F.lit(3).alias("at"), F.array().cast("array<struct<no:int,sct:binary>>").alias("items"), F.lit(0).alias("short")
-    )
+    def size_at(at: Column) -> Column:
+        return F.coalesce(_uint(blob, at, 2).cast("int"), F.lit(0))
+
+    # The size of the part ahead is carried along: each step decodes one length, however often it asks for it.
+    start = [F.lit(3).alias("at"), size_at(F.lit(3)).alias("size"), F.lit(0).alias("short")]
+    if items:
+        start.append(F.array().cast("array<struct<no:int,sct:binary>>").alias("items"))
 
     def step(state: Column, _: Column) -> Column:
-        at = state["at"]
-        size = F.coalesce(_uint(blob, at, 2).cast("int"), F.lit(0))
+        at, size = state["at"], state["size"]
         inside = (at + 1 <= total) & (at + 1 + size <= total)
-        part = F.struct(
-            (F.size(state["items"]) + state["short"] + 1).alias("no"), F.substring(blob, at + 2, size).alias("sct")
-        )
-        return F.struct(
+        after = [
             F.when(inside, at + 2 + size).otherwise(at).alias("at"),
-            F.when(inside & (size >= 47), F.concat(state["items"], F.array(part))).otherwise(state["items"]).alias("items"),
+            F.when(inside, size_at(at + 2 + size)).otherwise(size).alias("size"),
             (state["short"] + (inside & (size < 47)).cast("int")).alias("short"),
-        )
+        ]
+        if items:
+            part = F.struct(
+                (F.size(state["items"]) + state["short"] + 1).alias("no"), F.substring(blob, at + 2, size).alias("sct")
+            )
+            kept = F.when(inside & (size >= 47), F.concat(state["items"], F.array(part))).otherwise(state["items"])
+            after.append(kept.alias("items"))
+        return F.struct(*after)
 
     def walk_on(walked: Column) -> Column:
         unfinished = (walked["short"] > 0) & (walked["at"] < total + 1)
         return F.aggregate(F.when(unfinished, steps(2)).otherwise(F.array().cast("array<int>")), walked, step)
 
-    return F.transform(F.array(F.aggregate(steps(49), start, step)), walk_on)[0]
+    return F.transform(F.array(F.aggregate(steps(49), F.struct(*start), step)), walk_on)[0]
 
 
 def split_scts(blob: Column) -> Column:
@@ -204,13 +212,15 @@ def sct_list_error(blob: Column) -> Column:
     ``length_mismatch``: the list's own total is not its size. ``bad_length``: a part
     is too short, or its length leads behind the end.
     """
-    walked = _walk_scts(blob)
     declared = F.coalesce(_uint(blob, F.lit(1), 2).cast("int"), F.lit(-1))
+
+    def judged(walked: Column) -> Column:
+        return F.when((walked["short"] > 0) | (walked["at"] != F.length(blob) + 1), F.lit("bad_length"))
+
+    # Bound once, so the list is not walked again for each of its results.
+    walk = F.transform(F.array(_walk_scts(blob, items=False)), judged)[0]
     return F.when(
-        blob.isNotNull(),
-        F.when(declared != F.length(blob) - 2, F.lit("length_mismatch")).when(
-            (walked["short"] > 0) | (walked["at"] != F.length(blob) + 1), F.lit("bad_length")
-        ),
+        blob.isNotNull(), F.when(declared != F.length(blob) - 2, F.lit("length_mismatch")).otherwise(walk)
     )
 
 

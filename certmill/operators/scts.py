@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from certmill.functions import framing as fr
 from certmill.functions.fields import format_utc
 from certmill.operators.loglist import contact, log_id_index
-from certmill.plans.joins import lookup_join
+from certmill.plans.joins import lookup_join, with_kept
 from certmill.schemas import DASH
 
 
@@ -80,8 +80,7 @@ def lookup_scts(scts: DataFrame, entries: DataFrame) -> DataFrame:
 
 def broken_lists(lists: DataFrame, blob: str = "sct_list") -> DataFrame:
     """The lists that are not whole, with ``error``; their whole timestamps are still in :func:`explode_scts`."""
-    keep = [c for c in lists.columns if c != blob]
-    return lists.select(*keep, fr.sct_list_error(F.col(blob)).alias("error")).where(F.col("error").isNotNull())
+    return with_kept(lists, "error", fr.sct_list_error(F.col(blob)), lambda e: e.isNotNull()).drop(blob)
 
 
 def sct_summary(looked_up: DataFrame, certs: DataFrame | None = None) -> DataFrame:

@@ -128,7 +128,11 @@ def fingerprint(der: Column) -> Column:
 
 
 def normalize_fingerprint(text: Column) -> Column:
-    return F.lower(F.regexp_replace(text, "[^0-9a-fA-F]", ""))
+    """The hexadecimal digits of a text, in lower case; all else is left out."""
+    # Pairs are shown between colons, whose removal needs no pattern; only texts with anything else are searched.
+    plain = F.replace(text, F.lit(":"), F.lit(""))
+    pure = F.rlike(plain, F.lit(r"^[0-9a-fA-F]*+\z"))
+    return F.lower(F.when(pure, plain).otherwise(F.regexp_replace(plain, "[^0-9a-fA-F]", "")))
 
 
 def is_sha256_hex(text: Column) -> Column:

@@ -365,11 +365,15 @@ def _(x):
 SELECT slash_url AS log_url, CASE WHEN der_text LIKE 'alt%' THEN left(sha256(der_text), 40) ELSE sha256(der_text) END AS fingerprint,
   der_text NOT LIKE 'alt%' AS valid FROM log_roots""")
 def _(x):
-    shown = F.regexp_replace(F.upper(fr.fingerprint(F.col("der"))), "(..)", "$1:")
-    cut = F.when(F.startswith(F.col("der").cast("string"), F.lit("alt")), F.substring(shown, 1, 60)).otherwise(shown)
-    return x.log_roots().select(
+    # Each step is a projection of its own, so that what the next one uses several times is computed once.
+    rows = x.log_roots().select("log_url", "der", F.upper(fr.fingerprint(F.col("der"))).alias("digits"))
+    pairs = [F.concat(F.substring("digits", i, 2), F.lit(":")) for i in range(1, 65, 2)]
+    shown = rows.select("log_url", "der", F.concat(*pairs).alias("shown"))
+    alt = F.startswith(F.col("der").cast("string"), F.lit("alt"))
+    cut = shown.select("log_url", F.when(alt, F.substring("shown", 1, 60)).otherwise(F.col("shown")).alias("cut"))
+    return cut.select(
         ll.slash_url(F.col("log_url")).alias("log_url"),
-        fr.normalize_fingerprint(cut).alias("fingerprint"), fr.is_sha256_hex(cut).alias("valid"),
+        fr.normalize_fingerprint(F.col("cut")).alias("fingerprint"), fr.is_sha256_hex(F.col("cut")).alias("valid"),
     )
 
 

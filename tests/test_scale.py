@@ -41,3 +41,13 @@ def test_broken_lists_are_walked_once_and_told_as_by_a_plain_walk(spark):
     assert {r.cert_id: r.error for r in found.collect()} == want and len(set(want.values())) == 2
     # One walk and its rest behind the bound, not one of each for every use of the result.
     assert plan(found).count("aggregate(") <= 2
+
+
+def test_fingerprints_between_colons_need_no_replacement_by_pattern(spark):
+    texts = ["AA:BB:cc", "aabb\n", " a:b ", "g1:h2", "\u00e9AF:09", "", ":", "ABC:\r\n", "0x12", "a\u2028", "AA BB-CC", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(fr.normalize_fingerprint(F.col("t"))).collect()]
+    assert got == [t if t is None else "".join(c for c in t if c in "0123456789abcdefABCDEF").lower() for t in texts]
+    long = df.limit(1).select(fr.is_sha256_hex(F.lit("AB:" * 32)).alias("a"), fr.is_sha256_hex(F.lit("AB" * 32 + "\n")).alias("b"), fr.is_sha256_hex(F.lit("AB:" * 31)).alias("c"))
+    assert tuple(long.first()) == (True, True, False)
+    assert "RLIKE" in plan(df.select(fr.normalize_fingerprint(F.col("t"))))

@@ -51,3 +51,18 @@ def test_fingerprints_between_colons_need_no_replacement_by_pattern(spark):
     long = df.limit(1).select(fr.is_sha256_hex(F.lit("AB:" * 32)).alias("a"), fr.is_sha256_hex(F.lit("AB" * 32 + "\n")).alias("b"), fr.is_sha256_hex(F.lit("AB:" * 31)).alias("c"))
     assert tuple(long.first()) == (True, True, False)
     assert "RLIKE" in plan(df.select(fr.normalize_fingerprint(F.col("t"))))
+
+
+def test_matches_are_told_apart_by_one_shuffle(spark, tmp_path):
+    from certmill.operators.jobs import dedupe_matches
+    from checks.fixtures import Fixtures
+
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 2, 3, None]), rng.choice([1, 2, 5, None]), rng.choice([4, 5, 6, None]), rng.choice([7, 8])) for _ in range(120)]
+    schema = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint"
+    spark.createDataFrame(rows + rows[:40], schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    x = Fixtures(spark, str(tmp_path))
+    got, want = x.matches(), dedupe_matches(x.arrivals())
+    key = lambda df: {tuple(r) for r in df.where("id IS NOT NULL").collect()}
+    assert key(got) == key(want) and got.count() == want.count()
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -89,13 +88,13 @@ def _features(docs: DataFrame, doc_id: str, text: str, host: Column, path: Colum
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x: list[list[float]] = []
-            for _, texts in text_pieces(b, "text"):
-                x.extend(text_features(t) for t in texts)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("host"), b.column("path"), pa.array(x, pa.list_(pa.float64()))],
-                ["doc_id", "host", "path", "x"],
-            )
+            # Batch by batch of bounded text, so that no more of it is held than one piece.
+            for start, texts in text_pieces(b, "text"):
+                part, x = b.slice(start, len(texts)), [text_features(t) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("host"), part.column("path"), pa.array(x, pa.list_(pa.float64()))],
+                    ["doc_id", "host", "path", "x"],
+                )
 
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"),
@@ -125,22 +124,22 @@ def _strength(means: DataFrame, spread: Column, n: Column) -> float:
     return float(np.clip(r["within"] / between, 1.0, 1000.0))
 
 
-def _probability(model: Model):
-    @F.pandas_udf(T.DoubleType())
-    def of(x: pd.Series) -> pd.Series:
-        m = np.array(x.tolist(), dtype=np.float64).reshape(len(x), -1)
-        return pd.Series(model.logits(m) if len(m) else [], dtype="float64")
-
-    return of
+def _logit_of(model: Model, x: Column) -> Column:
+    """:meth:`Model.logits` of one row's features as a column expression; no row goes to Python."""
+    clip = lambda v, most: F.least(F.greatest(v, F.lit(-most)), F.lit(most))
+    out = F.lit(model.weights[-1])
+    for i, (weight, mean, scale) in enumerate(zip(model.weights, model.mean, model.scale, strict=False)):
+        out = out + clip((F.get(x, F.lit(i)) - mean) / scale, 8.0) * weight
+    return clip(out, 30.0)
 
 
 def _evidence(model: Model):
     """The classifier over texts, so that rows keep all their columns and nothing is joined by id."""
 
-    @F.pandas_udf(T.DoubleType())
-    def of(texts: pd.Series) -> pd.Series:
-        m = np.array([text_features(t) for t in texts], dtype=np.float64).reshape(len(texts), len(FEATURES))
-        return pd.Series(model.logits(m), dtype="float64")
+    @F.arrow_udf(T.DoubleType())
+    def of(texts: pa.Array) -> pa.Array:
+        m = np.array([text_features(t.as_py()) for t in texts], dtype=np.float64).reshape(len(texts), len(FEATURES))
+        return pa.array(model.logits(m), pa.float64())
 
     return of
 
@@ -183,7 +182,7 @@ def combined(rows: DataFrame, priors: SitePriors, base: float) -> DataFrame:
 def _prepared(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, host: Column, path: Column) -> tuple[Model, SitePriors, DataFrame]:
     features = _features(docs, doc_id, text, host, path)
     model = train(features, labels, doc_id)
-    scored = features.select("doc_id", "host", "path", _probability(model)(F.col("x")).alias("logit"))
+    scored = features.select("doc_id", "host", "path", _logit_of(model, F.col("x")).alias("logit"))
     return model, site_priors(scored.select("host", "path", "logit")), scored
 
 

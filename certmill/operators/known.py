@@ -35,6 +35,23 @@ def _place(name: Column, width: int) -> Column:
     return F.pmod(F.xxhash64(name), F.lit(width).cast("bigint"))
 
 
+def filter_width(rows: int) -> int:
+    """Bits of a filter for ``rows`` names."""
+    return max(64 * WORDS, 1 << max(0, BITS_PER_NAME * rows - 1).bit_length())
+
+
+def name_bits(names: DataFrame, width: int) -> DataFrame:
+    """``_piece, _words``: the bits that the names ``_clean`` set in a filter of ``width`` bits."""
+    at = _place(F.col("_clean"), width)
+    set_bits = names.select(at.alias("_at")).selectExpr("_at >> 6 AS _word", "shiftleft(1L, cast(_at & 63 AS INT)) AS _bits")
+    words = set_bits.groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    pieces = words.groupBy(F.expr(f"_word div {WORDS}").alias("_piece")).agg(
+        F.map_from_entries(F.collect_list(F.struct((F.col("_word") % WORDS).alias("k"), F.col("_bits").alias("v")))).alias("_m")
+    )
+    full = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(WORDS - 1).cast("bigint")), lambda i: F.coalesce(F.col("_m")[i], F.lit(0).cast("bigint")))
+    return pieces.select("_piece", full.alias("_words"))
+
+
 def store_known(known: DataFrame, path: str | None = None) -> KnownNames:
     """Store the names of ``known.domain`` without wildcard, and their bits; nulls are no names."""
     spark = known.sparkSession
@@ -43,15 +60,8 @@ def store_known(known: DataFrame, path: str | None = None) -> KnownNames:
     clean.where(F.col("_clean").isNotNull()).distinct().write.parquet(f"{base}/names")
     names = spark.read.parquet(f"{base}/names")
     rows = names.count()
-    width = max(64 * WORDS, 1 << max(0, BITS_PER_NAME * rows - 1).bit_length())
-    at = _place(F.col("_clean"), width)
-    set_bits = names.select(at.alias("_at")).selectExpr("_at >> 6 AS _word", "shiftleft(1L, cast(_at & 63 AS INT)) AS _bits")
-    words = set_bits.groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
-    pieces = words.groupBy(F.expr(f"_word div {WORDS}").alias("_piece")).agg(
-        F.map_from_entries(F.collect_list(F.struct((F.col("_word") % WORDS).alias("k"), F.col("_bits").alias("v")))).alias("_m")
-    )
-    full = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(WORDS - 1).cast("bigint")), lambda i: F.coalesce(F.col("_m")[i], F.lit(0).cast("bigint")))
-    pieces.select("_piece", full.alias("_words")).write.parquet(f"{base}/bits")
+    width = filter_width(rows)
+    name_bits(names, width).write.parquet(f"{base}/bits")
     return open_known(spark, base, rows, width)
 
 

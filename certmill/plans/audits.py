@@ -122,7 +122,8 @@ def scan_logs(
     enough hits gives the exact answer and the rest is not read.
     """
     def hits_in(part: DataFrame) -> DataFrame:
-        able = _candidates(part, sizes, ranks, opts).dropDuplicates(["ord"])
+        # Dealt by place first: rows are sorted once, behind the shuffle, not on both sides of it.
+        able = _candidates(part, sizes, ranks, opts).repartition("ord").dropDuplicates(["ord"])
         if known is not None:
             able = jb.skip_known_options(able, known).where(F.size("options") > 0)
         return greedy.greedy_hits(able)

@@ -32,7 +32,9 @@ class Fixtures:
 
     def names(self) -> DataFrame:
         """Distinct (order, line, name)."""
-        base = self.table("lineitem").selectExpr(
+        # Lines of an order meet before their names are made; one shuffle serves all that follows by order.
+        lines = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").repartition("l_orderkey")
+        base = lines.selectExpr(
             "l_orderkey", "l_linenumber",
             "CASE WHEN l_suppkey % 9 = 8 THEN concat('192.0.2.', l_partkey % 256) "
             "ELSE concat(CASE WHEN l_linenumber % 5 = 0 THEN '*.' ELSE '' END, "
@@ -46,7 +48,7 @@ class Fixtures:
     def raw_certs(self) -> DataFrame:
         """Certificates with nulls where attributes are absent."""
         san = self.names().groupBy("l_orderkey").agg(
-            F.array_sort(F.collect_list(F.struct("l_linenumber", "name")))["name"].alias("san")
+            F.sort_array(F.collect_list(F.struct("l_linenumber", "name")))["name"].alias("san")
         )
         orders, customer, nation = self.table("orders"), self.table("customer"), self.table("nation")
         return (

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameReader, functions as F
 
 from certmill.operators import greedy, jobs as jb, loglist as ll
 from certmill.plans import audits as pl
@@ -98,6 +98,28 @@ def test_a_round_reads_the_buckets_of_its_movers(spark):
     assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters", 1)[1].split("PushedFilters")[0]
 
 
+@pytest.mark.parametrize("most_asked", [-1, 100_000])
+def test_holders_are_found_by_bits_or_names(spark, monkeypatch, most_asked):
+    monkeypatch.setattr(greedy, "MAX_ASKED", most_asked)
+    monkeypatch.setattr(greedy, "MERGE_ROUNDS", 1)
+    # Two parts at least want the name null, which is a name like others.
+    data = random_certs(9, 50, 20) + [(1000, ["a", None, "end1"]), (1001, ["a", None, "end2"]), (1002, ["z", None]), (-1, ["z"]), (-2, ["a"])]
+    found = greedy.Assignment(bare(spark, data), walk_certs=10)
+    assert places(found) == walk(data) and len(found.moved) > 2
+    plan = found._asked(found.held.select("name"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(name" not in plan and "hashpartitioning(_clean" not in plan
+
+
+def test_a_round_lists_its_own_table(spark, monkeypatch):
+    monkeypatch.setattr(greedy, "MERGE_ROUNDS", 100, raising=False)
+    opened, parquet = [], DataFrameReader.parquet
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda self, *paths, **o: (opened.extend(paths), parquet(self, *paths, **o))[1])
+    data = [(i, [f"c{i:02}", f"c{i + 1:02}"]) for i in range(7)] + [(-1, ["zz", "c00"]), (-2, ["zz"])]
+    found = greedy.Assignment(bare(spark, data), walk_certs=1)
+    assert places(found) == walk(data)
+    assert len(found.moved) > 6 and len(opened) == len(found.moved) == len(set(opened))
+
+
 def sizes(certs):
     return certs.groupBy("log_uri").agg((F.max("log_index") + 1).alias("tree_size"))
 

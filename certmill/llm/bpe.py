@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding with a rank file, by recursive DuckDB queries in each task.
 
 A text is split by the vocabulary's pattern. The distinct words of a piece of a
-partition that the worker has not met become rows of (word, position, token); a
-recursive query joins neighbouring rows to the table of merges and contracts each
-word's leftmost pair of least rank until none is left. Decoding joins the token rows
-to the table of token bytes and puts them together by an ordered aggregation. Words
+partition that the worker has not met become rows of (word, position, token), each
+with the row that follows it; a recursive query joins them to the table of merges and
+contracts each word's leftmost pair of least rank until none is left. Decoding looks the
+bytes of all tokens up in one Arrow array and cuts them at the ends of the lists. Words
 and their results stay in a bounded cache of the worker; nothing is shuffled.
 
 The query's rows grow with the square of a word's length. Words of more than
@@ -20,6 +20,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,26 +34,24 @@ QUERY_SQUARES = 1 << 22
 CACHE_ROWS = 300_000
 PIECE_CHARS = 1 << 22
 _CODERS: dict[tuple[str, str], Coder] = {}
+_NUMBER, _IDS, _BYTES = itemgetter(0), itemgetter(1), itemgetter(2)
 
 ENCODE = """
 WITH RECURSIVE step AS (
-  SELECT 0 AS k, w, p, t FROM source
+  SELECT 0 AS k, w, p, t, next_p, next_t FROM source
   UNION ALL
-  (WITH now AS (
-     SELECT k, w, p, t, lead(p) OVER (PARTITION BY w ORDER BY p) AS next_p, lead(t) OVER (PARTITION BY w ORDER BY p) AS next_t
-     FROM step),
-   least AS (
+  (WITH least AS (
      SELECT n.w, min((m.merged::BIGINT << 32) + (n.p << 16) + n.next_p) AS best
-     FROM now n JOIN merges m ON m.a = n.t AND m.b = n.next_t GROUP BY n.w),
-   pick AS (SELECT w, (best >> 16) & 65535 AS p, best & 65535 AS next_p, (best >> 32)::INT AS merged FROM least)
-   SELECT n.k + 1, n.w, n.p, CASE WHEN n.p = x.p THEN x.merged ELSE n.t END
-   FROM now n JOIN pick x ON x.w = n.w WHERE n.p <> x.next_p)
+     FROM step n JOIN merges m ON m.a = n.t AND m.b = n.next_t GROUP BY n.w),
+   pick AS (
+     SELECT l.w, (l.best >> 16) & 65535 AS p, g.p AS gone, (l.best >> 32)::INT AS merged, g.next_p, g.next_t
+     FROM least l JOIN step g ON g.w = l.w AND g.p = l.best & 65535)
+   SELECT n.k + 1, n.w, n.p, CASE WHEN n.p = x.p THEN x.merged ELSE n.t END,
+     CASE WHEN n.p = x.p THEN x.next_p ELSE n.next_p END,
+     CASE WHEN n.p = x.p THEN x.next_t WHEN n.next_p = x.p THEN x.merged ELSE n.next_t END
+   FROM step n JOIN pick x ON x.w = n.w WHERE n.p <> x.gone)
 ), last AS (SELECT w, max(k) AS k FROM step GROUP BY w)
-SELECT s.w, list(s.t ORDER BY s.p) AS ids FROM step s JOIN last l ON s.w = l.w AND s.k = l.k GROUP BY s.w ORDER BY s.w
-"""
-
-DECODE = """
-SELECT s.w, string_agg(v.hex, '' ORDER BY s.p) AS hex FROM source s LEFT JOIN vocabulary v ON v.id = s.t GROUP BY s.w ORDER BY s.w
+SELECT s.w, s.t FROM step s JOIN last l ON s.w = l.w AND s.k = l.k ORDER BY s.w, s.p
 """
 
 # Letters, digits and white space up to U+00FF: for such texts the plain pattern
@@ -75,6 +74,22 @@ def _splitters(pattern: str):
     return re.compile(narrow), regex.compile(wide)
 
 
+class Spellings:
+    """What each id is written as, bytes by id in one array; an id without an entry is written as nothing."""
+
+    def __init__(self, by_id: dict[int, bytes]) -> None:
+        self.none = max(by_id) + 1
+        self.table = pa.array([by_id.get(i, b"") for i in range(self.none + 1)], pa.large_binary())
+
+    def of(self, sizes: np.ndarray, ids: np.ndarray) -> list[bytes]:
+        """The bytes of successive lists of ids, put together list by list."""
+        known = np.where((ids >= 0) & (ids < self.none), ids, self.none)
+        written = self.table.take(pa.array(known, pa.int64()))
+        ends = np.frombuffer(written.buffers()[1], np.int64)[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        data = (written.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+        return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 class Coder:
     """One vocabulary in one worker: its tables in DuckDB, and the words met so far."""
 
@@ -86,59 +101,82 @@ class Coder:
         self.byte_ids = np.array([self.ranks[bytes([c])] for c in range(256)], np.int32)
         self.narrow, self.wide = _splitters(pattern)
         # Two generations: when the younger is full it becomes the older, and words in use move back.
-        self.words: dict[str, tuple[int, str, bytes]] = {}
-        self.older: dict[str, tuple[int, str, bytes]] = {}
+        # A word's number of ids, its ids with a comma after each, and the bytes that they stand for.
+        self.words: dict[str, tuple[int, bytes, bytes]] = {}
+        self.older: dict[str, tuple[int, bytes, bytes]] = {}
         merges = [
             (self.ranks[t[:i]], self.ranks[t[i:]], r)
             for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks
         ]
-        self.bytes = {r: t for t, r in self.ranks.items()}
+        self.tokens = Spellings({r: t for t, r in self.ranks.items()})
+        self.numbers = Spellings({r: b"%d," % r for r in self.ranks.values()})
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
         self._fill("merges", {"a": [m[0] for m in merges], "b": [m[1] for m in merges], "merged": [m[2] for m in merges]})
-        vocabulary = pa.table({"id": pa.array(self.bytes, pa.int32()), "hex": [t.hex() for t in self.bytes.values()]})
-        self._copy("vocabulary", vocabulary)
 
-    def _copy(self, name: str, table: pa.Table) -> None:
-        self.db.register("_incoming", table)
+    def _fill(self, name: str, columns: dict[str, list[int] | np.ndarray | pa.Array]) -> None:
+        self.db.register("_incoming", pa.table({k: pa.array(v, pa.int32()) for k, v in columns.items()}))
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM _incoming")
         self.db.unregister("_incoming")
 
-    def _fill(self, name: str, columns: dict[str, list[int] | np.ndarray]) -> None:
-        self._copy(name, pa.table({k: pa.array(v, pa.int32()) for k, v in columns.items()}))
-
     def _rows(self, sizes: np.ndarray, tokens: np.ndarray) -> None:
-        """The tokens of successive lists as (word, position, token) rows of the table ``source``."""
-        first = np.cumsum(sizes) - sizes
+        """The tokens of successive lists of one token at least as rows of the table ``source``.
+
+        A row is (word, position, token) and the next row's position and token, null in a word's last row.
+        """
+        ends = np.cumsum(sizes)
+        place = np.arange(len(tokens)) - np.repeat(ends - sizes, sizes)
+        last = np.zeros(len(tokens), bool)
+        last[ends - 1] = True
         self._fill("source", {
             "w": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes),
-            "p": (np.arange(len(tokens)) - np.repeat(first, sizes)).astype(np.int32),
+            "p": place.astype(np.int32),
             "t": tokens,
+            "next_p": pa.array((place + 1).astype(np.int32), mask=last),
+            "next_t": pa.array(np.roll(tokens, -1), mask=last),
         })
 
     def split(self, text: str) -> list[str]:
         return (self.narrow if _NARROW.fullmatch(text) else self.wide).findall(text)
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word: its own rank, or its bytes' tokens merged until no pair has a rank."""
-        ids: list[list[int]] = [[self.ranks[w]] if w in self.ranks else [] for w in words]
-        open_words = [i for i, w in enumerate(words) if w and not ids[i]]
+    def _encoded(self, words: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """The words' places in the order in which their ids follow, each one's number of ids, and all ids.
+
+        A word has its own rank, or its bytes' tokens merged until no pair has a rank.
+        """
+        order = [i for i, w in enumerate(words) if w in self.ranks]
+        sizes = [np.ones(len(order), np.int64)]
+        ids = [np.array([self.ranks[words[i]] for i in order], np.int32)]
+        open_words = [i for i, w in enumerate(words) if w not in self.ranks]
         at = 0
         while at < len(open_words):
             chunk, squares = [], 0
             while at < len(open_words) and squares < QUERY_SQUARES:
                 i = open_words[at]
                 at += 1
-                if len(words[i]) > LONG_WORD:
-                    ids[i] = self._merge_long(words[i])
+                if not words[i] or len(words[i]) > LONG_WORD:
+                    merged = self._merge_long(words[i])
+                    order.append(i)
+                    sizes.append(np.array([len(merged)], np.int64))
+                    ids.append(np.array(merged, np.int32))
                 else:
                     chunk.append(i)
                     squares += len(words[i]) ** 2
             if chunk:
-                sizes = np.fromiter((len(words[i]) for i in chunk), np.int64, len(chunk))
-                self._rows(sizes, self.byte_ids[np.frombuffer(b"".join([words[i] for i in chunk]), np.uint8)])
-                for w, got in self.db.execute(ENCODE).fetchall():
-                    ids[chunk[w]] = got
-        return ids
+                lengths = np.fromiter((len(words[i]) for i in chunk), np.int64, len(chunk))
+                self._rows(lengths, self.byte_ids[np.frombuffer(b"".join([words[i] for i in chunk]), np.uint8)])
+                got = self.db.execute(ENCODE).fetchnumpy()
+                order += chunk
+                sizes.append(np.bincount(got["w"], minlength=len(chunk)))
+                ids.append(got["t"])
+        return order, np.concatenate(sizes), np.concatenate(ids)
+
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word."""
+        out: list[list[int]] = [[] for _ in words]
+        order, sizes, ids = self._encoded(words)
+        for i, got in zip(order, np.split(ids, np.cumsum(sizes))[:-1], strict=True):
+            out[i] = got.tolist()
+        return out
 
     def _merge_long(self, word: bytes) -> list[int]:
         """The same rule over a linked list, with a heap of (rank, place)."""
@@ -169,12 +207,8 @@ class Coder:
 
     def decode_lists(self, lists: list[list[int]]) -> list[bytes]:
         """Bytes of each list of ids; an id without a token gives none."""
-        out = [b""] * len(lists)
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        self._rows(sizes, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())))
-        for w, text in self.db.execute(DECODE).fetchall():
-            out[w] = bytes.fromhex(text or "")
-        return out
+        return self.tokens.of(sizes, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())))
 
     def learn(self, split: list[list[str]]) -> None:
         """Encode and decode the words that are not in the cache."""
@@ -187,9 +221,9 @@ class Coder:
             self.words[w] = self.older[w]
             missing.discard(w)
         missing = list(missing)
-        ids = self.encode_words([w.encode("utf-8") for w in missing])
-        for w, x, back in zip(missing, ids, self.decode_lists(ids), strict=True):
-            self.words[w] = (len(x), ",".join(map(str, x)), back)
+        order, sizes, ids = self._encoded([w.encode("utf-8") for w in missing])
+        found = zip(sizes.tolist(), self.numbers.of(sizes, ids), self.tokens.of(sizes, ids), strict=True)
+        self.words.update(zip([missing[i] for i in order], found, strict=True))
 
 
 def coder(path: str, pattern: str) -> Coder:
@@ -232,7 +266,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keys: list[Column], text: s
         c = coder(path, pattern)
         split = [c.split(t) for t in texts]
         c.learn(split)
-        return ([[int(i) for w in words for i in c.words[w][1].split(",")] for words in split],)
+        return ([[int(i) for w in words for i in c.words[w][1].split(b",")[:-1]] for words in split],)
 
     rows = docs.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     return _added(rows, "ids array<int>", ids, "_text")
@@ -268,10 +302,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keys: list[Column], tex
         c.learn(split)
         n, ids, back = [], [], []
         for words in split:
-            got = [c.words[w] for w in words]
-            n.append(sum(x[0] for x in got))
-            ids.append(hashlib.sha256(",".join([x[1] for x in got]).encode()).hexdigest())
-            back.append(hashlib.sha256(b"".join([x[2] for x in got])).hexdigest())
+            got = list(map(c.words.__getitem__, words))
+            n.append(sum(map(_NUMBER, got)))
+            ids.append(hashlib.sha256(b"".join(map(_IDS, got))[:-1]).hexdigest())
+            back.append(hashlib.sha256(b"".join(map(_BYTES, got))).hexdigest())
         return n, ids, back
 
     rows = docs.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("_text"))

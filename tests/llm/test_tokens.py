@@ -63,6 +63,17 @@ def test_long_words_follow_the_same_rule():
     assert [c._merge_long(w) for w in words] == c.encode_words(words)
 
 
+def test_a_round_of_merges_sorts_nothing_and_decoding_asks_no_query(monkeypatch):
+    c = bpe.Coder(RANKS, P.PATTERN)
+    assert c.encode_words([]) == [] and c.encode_words([b"", b"abcabc qq"])[0] == []
+    steps = "\n".join(r[1] for r in c.db.execute("EXPLAIN " + bpe.ENCODE).fetchall()).upper()
+    assert "CTE" in steps and "WINDOW" not in steps
+    ids = c.encode_words([" straße".encode(), b"a", b"qzxqzx"])
+    monkeypatch.setattr(c, "db", None)
+    assert c.decode_lists([*ids, [], [10**9, -1, *ids[1]]]) == [" straße".encode(), b"a", b"qzxqzx", b"", b"a"]
+    assert c.decode_lists([]) == []
+
+
 def test_counts_equal_the_library(docs, piece):
     rows = {r.doc_id: r for r in tc.token_counts(docs, MODEL, [F.col("doc_id")], cache_rows=5).collect()}
     for i, t in enumerate(TEXTS):

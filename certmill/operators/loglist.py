@@ -6,13 +6,18 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from certmill.plans.joins import fits_broadcast, lookup_join
+from certmill.plans.joins import MAX_ROWS, fits_broadcast, lookup_join
 from certmill.schemas import DASH
+from certmill.session import stored
 
 # Default start of an open interval, operator of a log outside the list.
 FIRST_DAY = date(2013, 1, 1)
 MANUAL = "manual"
 
+# A range join deals its pairs to tasks as blocks of about so many rows of each side.
+BLOCK_ROWS = 4096
+MAX_TASKS = 10_000
+
 
 def slash_url(url: Column) -> Column:
     """The URL with exactly one trailing slash."""
@@ -57,6 +62,8 @@ def overlap_join(intervals: DataFrame, logs: DataFrame, slot_days: int = 366) ->
     A range join over slots of days: both sides name the slots they touch and
     are joined on the slot, so the join is an equi join that shuffles on a key.
     A pair is kept only in the first slot that both touch, so none is repeated.
+    Slots are few and each holds many pairs, so :func:`_slot_pairs` deals them to
+    tasks by their number, not by their slot.
     """
     def slots(lo: Column, hi: Column) -> Column:
         zero = F.lit(date(1970, 1, 1))
@@ -79,13 +86,50 @@ def overlap_join(intervals: DataFrame, logs: DataFrame, slot_days: int = 366) ->
     )
     left = left.select("*", F.explode("_slots").alias("_slot"), F.get("_slots", F.lit(0)).alias("_a"))
     right = right.select("*", F.explode("_lslots").alias("_slot"), F.get("_lslots", F.lit(0)).alias("_b"))
-    if fits_broadcast(right):
-        right = F.broadcast(right)
-    met = left.join(right, "_slot").where(
+    met = _slot_pairs(left.drop("_slots"), right.drop("_lslots", "_hi")).where(
         _overlaps(F.col("_s"), F.col("_e"), F.col("interval_from"), F.col("interval_to"))
         & (F.col("_slot") == F.greatest("_a", "_b"))
     )
-    return met.drop("_slot", "_slots", "_lslots", "_a", "_b", "_s", "_e", "_hi")
+    return met.drop("_slot", "_a", "_b", "_s", "_e")
+
+
+def _slot_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The inner join on ``_slot``, each task with about the pairs of two blocks.
+
+    The smaller side is broadcast if it is proven small, and the rows of the other are dealt
+    evenly. Else the rows of a slot are cut into blocks on both sides, each block
+    is copied for every block of the other side, and two blocks that meet are one key.
+    """
+    def per_slot(df: DataFrame, n: str) -> DataFrame:
+        return df.groupBy("_slot").agg(F.count(F.lit(1)).alias(n))
+
+    # Sums are doubles: pairs of two large tables pass BIGINT.
+    size = per_slot(left, "l").join(per_slot(right, "r"), "_slot", "full").agg(
+        F.sum(F.col("l").cast("double") * F.col("r")).alias("pairs"), F.sum("l").alias("l"),
+        F.sum("r").alias("r"), F.max("l").alias("most_l"), F.max("r").alias("most_r"),
+    ).first()
+    rows_l, rows_r = size["l"] or 0, size["r"] or 0
+    tasks = int((size["pairs"] or 0) // BLOCK_ROWS**2) + 1
+
+    def dealt(df: DataFrame, rows: int) -> DataFrame:
+        return df if tasks == 1 else df.repartition(min(max(tasks, rows // MAX_ROWS + 1), MAX_TASKS))
+
+    if rows_l <= rows_r and fits_broadcast(left):
+        return F.broadcast(left).join(dealt(right, rows_r), "_slot")
+    if fits_broadcast(right):
+        return dealt(left, rows_l).join(F.broadcast(right), "_slot")
+    keys = ["_slot", "_block_l", "_block_r"]
+    blocks_l, blocks_r = (-(-(n or 1) // BLOCK_ROWS) for n in (size["most_l"], size["most_r"]))
+
+    def blocked(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        # Stored, so a task that runs again finds its rows in the same blocks, and equal rows need not share one.
+        cut = stored(df.withColumn(own, F.floor(F.rand() * n).cast("int")), own.strip("_"))
+        copies = cut.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+        return copies.repartition(min(max(tasks, (rows_l + rows_r) // MAX_ROWS + 1), MAX_TASKS), *keys)
+
+    return blocked(left, "_block_l", blocks_l, "_block_r", blocks_r).join(
+        blocked(right, "_block_r", blocks_r, "_block_l", blocks_l), keys
+    ).drop("_block_l", "_block_r")
 
 
 def select_logs(

@@ -114,6 +114,30 @@ def test_interval_join_equals_the_filter(spark, logs, small, monkeypatch):
         assert got == want
 
 
+@pytest.mark.parametrize("small", ["intervals", "logs", "none"])
+def test_pairs_of_one_slot_are_dealt_to_many_tasks(spark, small, monkeypatch):
+    monkeypatch.setattr(ll, "fits_broadcast", lambda df, *a: {"intervals": "interval_from", "logs": "start"}.get(small) in df.columns)
+    spans = spark.range(20_000).selectExpr("id", "date'2024-02-01' AS interval_from", "date'2024-02-09' AS interval_to")
+    known = spark.range(20_000 if small != "logs" else 19_999).selectExpr("id AS pos", "'2024-01-15' AS start", "'2024-02-15' AS end")
+    # 400 million pairs in one slot; only their tasks are counted here.
+    assert ll.overlap_join(spans, known).rdd.getNumPartitions() >= 20
+
+
+def test_blocks_of_a_slot_lose_and_repeat_no_pair(spark, logs, monkeypatch):
+    monkeypatch.setattr(ll, "fits_broadcast", lambda *a: False)
+    monkeypatch.setattr(ll, "BLOCK_ROWS", 3)
+    spans = [(i // 2, date(2024 + i // 20, 1 + (i * 5) % 12, 1 + i // 4), date(2025 + i // 20, 1 + (i * 7) % 12, 28)) for i in range(40)]
+    spans = [s for s in spans if s[1] <= s[2]] + [(99, None, date(2026, 1, 1)), (98, date(2026, 1, 1), None)]
+    spans += spans[:9]  # rows that come twice give their pairs twice
+    twice = logs.unionByName(logs.where("pos < 3"))
+    df = spark.createDataFrame(spans, "id int, interval_from date, interval_to date")
+    got = ll.overlap_join(df, twice, 200)
+    assert got.columns == [*df.columns, *logs.columns]
+    want = [(i, r["description"]) for i, lo, hi in spans if lo and hi for r in ll.interval_overlap(twice, lo, hi).collect()]
+    assert sorted((r["id"], r["description"]) for r in got.collect()) == sorted(want)
+    assert ll.overlap_join(df.limit(0), twice).count() == ll.overlap_join(df, twice.limit(0)).count() == 0
+
+
 def test_select_logs(logs):
     got = [r["description"] for r in ll.select_logs(logs, today=date(2026, 8, 1), lo=date(2026, 1, 1)).collect()]
     assert got == ["h1", "open"]

@@ -3,12 +3,14 @@ import json
 import os
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from certmill.operators import certs as ct, entries as en, jobs as jb
 from certmill.plans import audits as pl
 from certmill.schemas import PARSED_COLUMNS
 from certmill.sinks import files as sk
+from certmill.sources import certfiles
 from certmill.sources.certfiles import read_cert_files
 from certmill.sources.dump import dump_audit, dump_metadata, read_dump
 from certmill.streaming import names, scan as st
@@ -112,6 +114,36 @@ def test_written_names_are_joined_not_listed(spark, tmp_path):
     assert outcomes(0, 5, recheck=True) == (1, 4, 0, 0) and os.path.exists(f"{folder}/3.der") and len(names()) == 36
 
 
+def test_files_are_listed_in_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(certfiles, "FILES_PER_TASK", 50, raising=False)
+    for i in range(400):
+        (tmp_path / f"{i % 2}" / "in").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"{i % 2}" / "in" / f"{i}.der").write_bytes(b"c%d" % i)
+    read = read_cert_files(spark, str(tmp_path), "*.der")
+    # The driver holds some files with names, not the status of every certificate.
+    assert len(read.inputFiles()) < 40 and read.rdd.getNumPartitions() == 8
+    assert sorted(bytes(r["der"]) for r in read.collect()) == sorted(b"c%d" % i for i in range(400))
+
+
+def test_files_are_those_of_sparks_reader(spark, tmp_path):
+    top = tmp_path / "odd \u00fc%20"
+    names = ["1.pem", "a/2.der", "a/b/3.pem", ".h/4.pem", "_t/5.pem", "_x=1/6.pem", "_metadata", "_m=2.pem", ".c.pem", "d._COPYING_",
+             "e.gz", "f e%20.pem", "k,1.{a}.pem", "empty.pem", "sub.pem/7.der", "x\n8.pem", "_metadata_x/10.pem", "A.PEM", "[z].pem"]
+    for n in names:
+        (top / n).parent.mkdir(parents=True, exist_ok=True)
+        (top / n).write_bytes(b"" if n == "empty.pem" else n.encode())
+    (top / "none").mkdir()
+    os.symlink(top / "1.pem", top / "link.pem")
+    for path, pattern in [(top, None), (top, "*.pem"), (f"file:{top}/", "{1,2}*.{pem,der}"), (top / "a", "*.[^p]*"), (top / "none", None),
+                          (top / "1.pem", None), (f"{top}/*", "?.pem"), (top / "_t", "*.pem")]:
+        plain = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        plain = plain.option("pathGlobFilter", pattern) if pattern else plain
+        want = sorted((r["path"], bytes(r["content"])) for r in plain.load(str(path)).collect())
+        assert sorted((r["path"], bytes(r["der"])) for r in read_cert_files(spark, str(path), pattern).collect()) == want
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        read_cert_files(spark, str(top / "nowhere"))
+
+
 def test_a_task_that_fails_leaves_manifest_and_files_in_step(spark, tmp_path):
     folder, flag = str(tmp_path / "certs"), str(tmp_path / "failed")
     put = sk._writer(f"file://{folder}")
